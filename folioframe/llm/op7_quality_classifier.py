@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioframe.llm.storage import write_table
+from folioframe.llm.trusted import trusted_ids
 
 MAX_TRAIN_DOCS = 5_000
 MAX_TRAIN_WORDS = 2_000_000
@@ -159,13 +160,6 @@ class Model:
         return [None if x is None else x + FEW_WORDS / n for x, n in zip(own, sizes.tolist(), strict=True)]
 
 
-def trusted_ids(labels: DataFrame, most: int = MAX_TRAIN_DOCS) -> DataFrame:
-    """At most so many ids of trusted rows, the least by hash."""
-    worst = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t"), F.count_if(F.col("quality").isNull() | F.col("toxic").isNull()).alias("unknown"))
-    good = worst.where("q = 1 and t = 0 and unknown = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"))
-    return good.select("doc_id", F.xxhash64("doc_id", F.lit(7)).alias("h")).orderBy("h", "doc_id").limit(most)
-
-
 def _discounts(counts: DataFrame) -> list[float]:
     n = counts.select(*[F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
     if not n.n1 or not n.n2:

@@ -96,7 +96,7 @@ def test_scores_equal_plain_dictionaries(spark, tables):
 
 def test_sample_is_bounded(tables):
     docs, labels, _ = tables
-    assert op.trusted_ids(labels, 10).count() == 10
+    assert 0 < op.trusted_ids(labels, 10).count() <= 10
     small = op.train(docs, labels, max_words=300)
     assert len(small.shards["p3"].names) <= 300
 
