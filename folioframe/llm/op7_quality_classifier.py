@@ -1,8 +1,8 @@
 """Quality classifier: an interpolated modified Kneser-Ney trigram model of trusted text, and quantiles of its perplexity.
 
 Training. Trusted rows are those labelled quality 1 and toxic 0. The model is fitted on a bounded sample of them, the
-least by a hash of doc_id: MAX_TRAIN_DOCS rows and MAX_TRAIN_WORDS words, of which a fifth of the rows is held out for
-the thresholds. Words seen fewer than MIN_COUNT times become the class of their letters; a word like the one before it
+least by a hash of doc_id: MAX_TRAIN_DOCS rows, of which a fifth is held out for the thresholds, and so are those beyond
+the first MAX_TRAIN_WORDS words. Words seen fewer than MIN_COUNT times become the class of their letters; a word like the one before it
 is an event of its own, which the model never learns. Counts, continuation counts, context sums and probabilities are
 DataFrame aggregations and joins, sharded by 64-bit names of n-grams; the highest order counts occurrences, the lower
 ones distinct left neighbours, each with three discounts.
@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm.storage import write_table
+from folioframe.llm.storage import drop_table, write_table
 from folioframe.llm.trusted import trusted_ids
 
 MAX_TRAIN_DOCS = 5_000
-MAX_TRAIN_WORDS = 2_000_000
+MAX_TRAIN_WORDS = 600_000
 MIN_COUNT = 3
 HELD_OUT = 5
 MIN_HELD = 20
@@ -181,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, ma
     """The model of docs (doc_id, text, lang) that labels trust, or None without any."""
     spark = docs.sparkSession
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where("text is not null").join(F.broadcast(trusted_ids(labels, max_docs)), "doc_id")
-    sample, _ = write_table(chosen, "trusted")
+    sample, sample_at = write_table(chosen, "trusted")
     words = F.size(F.split(F.trim("text"), r"[\x20\x09-\x0D]+")) + 1
     sizes = sorted((r.h, r.doc_id, r.n) for r in sample.groupBy("h", "doc_id").agg(F.sum(words).alias("n")).collect())  # at most max_docs rows
     within, total = [], 0
@@ -191,13 +191,14 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, ma
             break
         within.append(doc_id)
     if not within:
+        drop_table(spark, sample_at)
         return None
-    ids = spark.createDataFrame([(d,) for d in within], "doc_id long")
-    sample = sample.join(F.broadcast(ids), "doc_id")
-    held = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(HELD_OUT)) == 0
+    ids = spark.createDataFrame([(d, True) for d in within], "doc_id long, within boolean")
+    sample = sample.join(F.broadcast(ids), "doc_id", "left")
+    held = F.col("within").isNull() | (F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(HELD_OUT)) == 0)
     own = sample.where(~held)
     if own.isEmpty():
-        own, held = sample, F.lit(True)
+        own, held = sample.where("within"), F.lit(True)
     counted = own.select(F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("w")).where("w <> ''").groupBy("w").count().where(F.col("count") >= MIN_COUNT)
     vocabulary = {r.w: _name(r.w) for r in counted.toLocalIterator()}  # at most max_words / MIN_COUNT words
     sent = spark.sparkContext.broadcast(vocabulary)
@@ -210,16 +211,16 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, ma
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["k3", "k2", "k1", "x3", "x2"])
 
     each = own.select("text").mapInArrow(grams, "k3 long, k2 long, k1 long, x3 long, x2 long")
-    c3, _ = write_table(each.groupBy("k3", "k2", "k1", "x3", "x2").agg(F.count(F.lit(1)).alias("c")), "trigrams")
-    c2, _ = write_table(c3.groupBy("k2", "k1", "x2").agg(F.count(F.lit(1)).alias("c")), "bigrams")
-    c1, _ = write_table(c2.groupBy("k1").agg(F.count(F.lit(1)).alias("c")), "unigrams")
+    c3, c3_at = write_table(each.groupBy("k3", "k2", "k1", "x3", "x2").agg(F.count(F.lit(1)).alias("c")), "trigrams")
+    c2, c2_at = write_table(c3.groupBy("k2", "k1", "x2").agg(F.count(F.lit(1)).alias("c")), "bigrams")
+    c1, c1_at = write_table(c2.groupBy("k1").agg(F.count(F.lit(1)).alias("c")), "unigrams")
     d3, d2, d1 = _discounts(c3), _discounts(c2), _discounts(c1)
     one = _sums(c1, [], d1).first()
     base = one.freed / one.total / (c1.count() + 1)
     p1 = c1.select("k1", ((F.col("c") - _taken(d1)) / one.total + base).alias("p1"))
     s2, s3 = _sums(c2, ["x2"], d2), _sums(c3, ["x3"], d3)
     p2 = c2.join(s2, "x2").join(p1, "k1").select("k2", ((F.col("c") - _taken(d2)) / F.col("total") + F.col("freed") / F.col("total") * F.col("p1")).alias("p2"))
-    p2, _ = write_table(p2, "bigram-odds")
+    p2, p2_at = write_table(p2, "bigram-odds")
     p3 = c3.join(s3, "x3").join(p2, "k2").select("k3", ((F.col("c") - _taken(d3)) / F.col("total") + F.col("freed") / F.col("total") * F.col("p2")).alias("p3"))
     gamma = (F.col("freed") / F.col("total")).alias("g")
     frames = {"p3": p3, "p2": p2, "p1": p1, "g3": s3.select("x3", gamma), "g2": s2.select("x2", gamma)}
@@ -228,6 +229,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, ma
         got = frames[name].toArrow()  # at most max_words rows
         shards[name] = Shard(got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy())
     model = Model(vocabulary, shards, float(base))
+    drop_table(spark, c3_at, c2_at, c1_at, p2_at)
     sent.unpersist()
     scored = _scored(sample.where(held), model).select("lang", "log_perplexity").toArrow().to_pandas()  # at most max_docs rows
     if len(scored):
@@ -235,6 +237,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, ma
         for lang, x in scored.groupby("lang").log_perplexity:
             if len(x) >= MIN_HELD:
                 model.thresholds[lang] = float(x.quantile(quantile)) + margin
+    drop_table(spark, sample_at)
     return model
 
 
