@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from folioframe.llm import op2_quality_rules, op4_fingerprints, op5_packing, op6_bpe, op7_quality_classifier, op8_sharding, op9_secrets, op10_simhash
+from folioframe.llm import op1_suffix_dedup, op2_quality_rules, op4_fingerprints, op5_packing, op6_bpe, op7_quality_classifier, op8_sharding, op9_secrets, op10_simhash
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality_rules.op2_quality_rules, op4_fingerprints.op4_minhash_fingerprints, op5_packing.op5_power_of_two_packing, op6_bpe.op6_bpe_round_trip, op7_quality_classifier.op7_quality_classifier, op8_sharding.op8_label_propagation_shards, op9_secrets.op9_secret_scan, op10_simhash.op10_simhash)}
+    return {f.__name__: f for f in (op1_suffix_dedup.op1_suffix_dedup, op2_quality_rules.op2_quality_rules, op4_fingerprints.op4_minhash_fingerprints, op5_packing.op5_power_of_two_packing, op6_bpe.op6_bpe_round_trip, op7_quality_classifier.op7_quality_classifier, op8_sharding.op8_label_propagation_shards, op9_secrets.op9_secret_scan, op10_simhash.op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
