@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioframe.llm.components import components
+from folioframe.llm.ordering import NUMBER, numbered
 from folioframe.llm.storage import drop_table, write_table
 
 RADIUS = 4
@@ -135,6 +136,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", radius: int = RADIUS) -> DataFrame:
+    """The first row, in document order, of each component; all columns as they are."""
+    named = numbered(docs, id_col)
+    groups = near_duplicates(named, NUMBER, "text", radius)
+    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias(NUMBER))
+    return named.join(first, NUMBER, "left_semi").select(*docs.columns)
+
+
 def hexadecimal(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioframe.llm.ordering import NUMBER, numbered
 from folioframe.llm.storage import drop_table, free_shuffles, write_table
 
 LENGTH = 100
@@ -129,17 +130,6 @@ def _emit(batches, columns: int):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in _anchors_of(batch.slice(at, 512))[:columns]], names)
 
 
-def _ordered(docs: DataFrame, id_col: str) -> DataFrame:
-    """docs with a unique long `doc` in document order: the id itself if it is unique, else a number given in sorted order."""
-    ids = docs.select(F.col(id_col).cast("long").alias("doc"))
-    twice = ids.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc is null")
-    if twice.isEmpty():
-        return docs.withColumn("doc", F.col(id_col).cast("long"))
-    hashed = docs.withColumn("tie", F.xxhash64("text"))
-    ordered = hashed.orderBy(F.col(id_col).asc_nulls_last(), "tie").drop("tie").withColumn("doc", F.monotonically_increasing_id())
-    return write_table(ordered, "ordered")[0]
-
-
 def _doubled(context: list[bytes], group: np.ndarray, offset: np.ndarray, windows: np.ndarray, doc: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(doc, start) of the windows that occur earlier within their anchor's group, by prefix doubling from FIRST bytes."""
     sizes = np.fromiter(map(len, context), np.int64, len(context))
@@ -298,8 +288,10 @@ def without(data: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 
 def _with_spans(docs: DataFrame, id_col: str) -> DataFrame:
-    named = _ordered(docs, id_col)
-    return named.join(repeated_spans(named), "doc", "left")
+    """docs with the array `folioframe_spans` of what repeats in each text, or null."""
+    named = numbered(docs, id_col)
+    spans = repeated_spans(named.select(F.col(NUMBER).alias("doc"), "text"))
+    return named.join(spans.select(F.col("doc").alias(NUMBER), F.col("spans").alias("folioframe_spans")), NUMBER, "left")
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -315,7 +307,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     joined = _with_spans(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id")
-    return joined.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.select("doc_id", "text", "folioframe_spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -331,9 +323,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 texts.append(without(text.encode("utf-8", "surrogatepass"), runs).decode("utf-8", "ignore") if runs else text)
             yield batch.set_column(at, "text", pa.array(texts, pa.string())).select(names)
 
-    named = _ordered(docs, id_col)
-    joined = named.join(repeated_spans(named), "doc", "left").select(*names, "spans")
-    return joined.mapInArrow(run, docs.schema)
+    return _with_spans(docs, id_col).select(*names, "folioframe_spans").mapInArrow(run, docs.schema)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
