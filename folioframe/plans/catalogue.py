@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from folioframe.plans import geometry_queries
+
+_PARTS = (geometry_queries,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: run for part in _PARTS for name, (run, _) in part.QUERIES.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for part in _PARTS for name, sql in part.SQL.items()}
