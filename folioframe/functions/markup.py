@@ -79,7 +79,7 @@ def drop_unbalanced_delimiters(text: Column) -> Column:
 
 def space_alignment(text: Column) -> Column:
     r"""Unescaped & outside environments become \quad; inside one they are what they should be."""
-    return F.when(text.contains("\\begin{"), text).otherwise(F.regexp_replace(text, r"(?<!\\)&", r"\\\\quad "))
+    return F.when(text.contains("\\begin{"), text).otherwise(F.regexp_replace(text, r"(?<!\\)&", r"\\quad "))
 
 
 def split_double_scripts(text: Column, compat: bool = False) -> Column:
@@ -94,7 +94,7 @@ def split_double_scripts(text: Column, compat: bool = False) -> Column:
 
 def fill_fractions(text: Column, compat: bool = False) -> Column:
     r"""A \frac whose numerator is missing gets an empty one; compat: every \frac{ does."""
-    return F.regexp_replace(text, r"\\frac\{" if compat else r"\\frac\{(?=[^{}]*\}\s*(?:$|[^{\s]))", r"\\\\frac{}{")
+    return F.regexp_replace(text, r"\\frac\{" if compat else r"\\frac\{(?=[^{}]*\}\s*(?:$|[^{\s]))", r"\\frac{}{")
 
 
 def delimit(text: Column) -> Column:
