@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioframe.plans import geometry_queries, markup_queries
+from folioframe.plans import geometry_queries, markup_queries, system_queries
 
-_PARTS = (geometry_queries, markup_queries)
+_PARTS = (geometry_queries, markup_queries, system_queries)
 
 
 def queries() -> dict:
