@@ -93,3 +93,37 @@ def mean_inside(cells: DataFrame, x0: int, y0: int, x1: int, y1: int) -> DataFra
     """Mean of a half-open window of maps (seq_id, t, v, x); 0 where it is empty."""
     inside = (F.col("v") >= x0) & (F.col("v") < x1) & (F.col("t") >= y0) & (F.col("t") < y1)
     return cells.groupBy("seq_id").agg(F.coalesce(F.avg(F.when(inside, F.col("x"))), F.lit(0.0)).alias("score"))
+
+
+def greedy_tokens(step, start: int, most: int = 256, eos: int = EOS, pad: int = 0) -> list[int]:
+    """Autoregressive decoding: step(ids) gives the next scores; the last largest wins; stops at the end or padding token."""
+    ids = [start]
+    for _ in range(most):
+        scores = list(step(ids))
+        best = len(scores) - 1 - scores[::-1].index(max(scores))
+        if best in (eos, pad):
+            break
+        ids.append(best)
+    return ids[1:]
+
+
+def beam_tokens(step, start: int, beams: int = 3, top: int = 5, most: int = 256, eos: int = EOS) -> list[int]:
+    """Beam search over log probabilities of the last position; ties keep the earlier beam."""
+    import math
+
+    alive, done = [(0.0, [start])], []
+    for _ in range(most):
+        grown = []
+        for score, ids in alive:
+            x = list(step(ids))
+            peak = max(x)
+            total = math.log(sum(math.exp(v - peak) for v in x)) + peak
+            for i in sorted(range(len(x)), key=lambda k: -x[k])[:top]:
+                grown.append((score + x[i] - total, [*ids, i]))
+        grown.sort(key=lambda g: -g[0])
+        done += [g for g in grown[:beams] if g[1][-1] == eos]
+        alive = [g for g in grown[:beams] if g[1][-1] != eos]
+        if not alive:
+            break
+    best = max(done or alive, key=lambda g: g[0])[1][1:]
+    return best[:-1] if best and best[-1] == eos else best
