@@ -224,3 +224,12 @@ def round_trip(pages: DataFrame) -> DataFrame:
 def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages, from the archive."""
     return round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Base32 of SHA-1 by five hexadecimal digits a step: 20 bits, four letters.
+_FIVE = "CAST('0x' || substr(h, 5 * g + 1, 5) AS BIGINT)"
+_LETTER = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((" + _FIVE + " >> {}) & 31) AS BIGINT), 1)"
+ORACLE_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages)
+SELECT page_id, strlen(html) AS payload_bytes, array_to_string(list_transform(range(8), lambda g: {' || '.join(_LETTER.format(b) for b in (15, 10, 5, 0))}), '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM p"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from folioframe.llm import op3_warc
 from folioframe.llm.op1_suffix_dedup import op1_suffix_dedup
 from folioframe.llm.op2_quality_rules import op2_quality_rules
 from folioframe.llm.op3_warc import op3_warc_index
@@ -32,5 +33,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    """None: SQL lacks the hashes, automata, vocabularies and models of these; tests hold them against brute force."""
-    return {}
+    """SQL lacks the hashes, automata, vocabularies and models of the others; tests hold those against brute force."""
+    return {op3_warc_index.__name__: op3_warc.ORACLE_SQL}

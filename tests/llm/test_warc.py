@@ -72,3 +72,13 @@ def test_keys(spark):
     urls = ["http://www.Example.com/a?b#c", "https://u:p@h.org:8080", "", None, "x y", "//a.b/c"]
     got = [r.k for r in spark.createDataFrame([(u,) for u in urls], "url string").select(op.reversed_host_key("url").alias("k")).collect()]
     assert got == ["com,example,www)/a?b", "org,h)", ")", ")", ")x+y", "b,a)/c"]
+
+
+def test_query_equals_its_sql(spark):
+    import duckdb
+
+    c = duckdb.connect()
+    c.sql("CREATE VIEW pages AS SELECT * FROM '/root/testdata/sf0.001/pages.parquet' UNION ALL SELECT 10000 + page_id, url, html FROM '/root/testdata/sf0.001/pages.parquet' WHERE page_id % 3 = 0")
+    rows = c.sql("SELECT page_id, url, html FROM pages").fetchall()
+    want = sorted(c.sql("SELECT page_id, payload_bytes, payload_digest, record_type, refers_to FROM (" + op.ORACLE_SQL + ") q").fetchall(), key=str)
+    assert taken(op.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string"))) == want
