@@ -218,3 +218,37 @@ def map_images(df: DataFrame, change) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["image_id", "width", "height", "format", "pixels"])
 
     return df.select("image_id", "width", "height", "format", "pixels").mapInArrow(run, "image_id long, width int, height int, format string, pixels binary")
+
+
+def ink_mask(a: np.ndarray) -> np.ndarray:
+    """Where a gray image has ink: darker than its 95th percentile less 28, within 80 and 245; the border has none."""
+    gray = a[:, :, 0]
+    level = np.sort(gray, axis=None)[min(int(gray.size * 0.95), gray.size - 1)]
+    mask = gray < min(max(int(level) - 28, 80), 245)
+    edge = max(1, min(gray.shape) // 80)
+    mask[:edge] = mask[-edge:] = False
+    mask[:, :edge] = mask[:, -edge:] = False
+    return mask
+
+
+def row_bands(mask: np.ndarray) -> list[tuple[int, int]]:
+    """Inclusive runs of rows with enough ink; close ones are merged, and those of a line's height are kept."""
+    h, w = mask.shape
+    inked = mask.sum(axis=1) >= max(3, int(0.006 * w))
+    gap, bands = max(3, min(14, int(0.018 * h))), []
+    for r in np.flatnonzero(inked).tolist():
+        if bands and r <= bands[-1][1] + (gap if r > bands[-1][1] + 1 else 1):
+            bands[-1] = (bands[-1][0], r)
+        else:
+            bands.append((r, r))
+    return [(t, b) for t, b in bands if 4 <= b - t + 1 <= h / 2]
+
+
+def line_groups(a: np.ndarray) -> list[np.ndarray]:
+    """The lines of a formula crop, over its whole width; the crop itself if there are not two, nothing if it is too small."""
+    h, w = a.shape[:2]
+    if h < 24 or w < 12:
+        return []
+    gray = grayscale(a)[:, :, None] if a.shape[2] >= 3 else a
+    bands = row_bands(ink_mask(gray))
+    return [a[t : b + 1] for t, b in bands] if len(bands) >= 2 else [a]

@@ -10,7 +10,7 @@ from folioframe.operators import boxes as b
 from folioframe.operators import convert as c
 from folioframe.operators import images as im
 from folioframe.operators import recognize as r
-from folioframe.plans import flagship, graph
+from folioframe.plans import engine, flagship, graph
 from folioframe.session import table
 from folioframe.sources import models
 
@@ -121,6 +121,9 @@ QUERIES = {
     "pipe_toposort": (lambda sp, sf: graph.orders(view(sp, sf, "v_nodes")), None),
     "pipe_missing_deps": (lambda sp, sf: graph.missing_dependencies(view(sp, sf, "v_nodes")), "SELECT n.pipeline, n.name, n.dep FROM {v_nodes} n WHERE n.dep <> '' AND NOT EXISTS (SELECT 1 FROM {v_nodes} m WHERE m.pipeline = n.pipeline AND m.name = n.dep)"),
     "pipe_cycles": (lambda sp, sf: graph.cyclic_pipelines(view(sp, sf, "v_nodes")), "WITH RECURSIVE r AS (SELECT pipeline, name AS a, dep AS b FROM {v_nodes} n WHERE dep <> '' UNION SELECT r.pipeline, r.a, n.dep FROM r JOIN {v_nodes} n ON n.pipeline = r.pipeline AND n.name = r.b WHERE n.dep <> '') SELECT DISTINCT pipeline FROM r WHERE a = b"),
+    "pipe_run": (engine.run, None),
+    "pipe_run_formula": (lambda sp, sf: engine.run(sp, sf, "formula"), None),
+    "line_groups": (lambda sp, sf: _maps(sp, sf, lambda p: [(len(g),) for g in im.line_groups((255 * (1 - p.repeat(4, 0).repeat(4, 1)[:, :, None])).astype("uint8"))], "seq_id long, n int, rows int"), None),
     "job_last_status": (lambda sp, sf: graph.last_status(view(sp, sf, "v_jobs")), "SELECT job_id, arg_max(status, seq) AS status, count(*) AS n FROM {v_jobs} j GROUP BY job_id"),
     "job_queue_counts": (lambda sp, sf: graph.queue_counts(view(sp, sf, "v_jobs")), "SELECT status, count(*) AS jobs FROM (SELECT job_id, arg_max(status, seq) AS status FROM {v_jobs} j GROUP BY job_id) z GROUP BY status"),
     "job_next": (lambda sp, sf: graph.next_jobs(view(sp, sf, "v_jobs")), "SELECT job_id, first_event FROM (SELECT job_id, arg_max(status, seq) AS status, min(event_id) AS first_event FROM {v_jobs} j GROUP BY job_id) z WHERE status = 'pending'"),
