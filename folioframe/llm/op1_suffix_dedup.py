@@ -38,7 +38,8 @@ from folioframe.llm.storage import drop_table, free_shuffles, write_table
 LENGTH = 100
 GRAM = 24
 FIRST = 25
-HOT = 2048
+HOT = 1 << 14
+ROWS_AT_ONCE = 1 << 13
 CHUNK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = []
@@ -206,7 +207,7 @@ def _within_anchors(batches):
 
     for batch in batches:
         held += zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
-        if len(held) >= 4 * HOT:
+        if len(held) >= ROWS_AT_ONCE:
             cut = len(held) - 1
             while cut and held[cut - 1][0] == held[-1][0]:
                 cut -= 1
@@ -250,10 +251,12 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     drop_table(spark, anchored_at)
     free_shuffles(spark)
     mixed = classes.where("mixed").select("k", "doc", "place")
-    sizes = mixed.groupBy("k").agg((F.count(F.lit(1)) > HOT).alias("hot"))
-    grouped = mixed.join(sizes, "k").groupBy("doc").agg(F.collect_list(F.struct("k", "hot", "place")).alias("rows"))
+    hot_keys = mixed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("k", F.lit(True).alias("hot"))
+    hot_keys, hot_at = write_table(hot_keys, "hot")
+    marked = mixed.join(hot_keys, "k", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    grouped = marked.groupBy("doc").agg(F.collect_list(F.struct("k", "hot", "place")).alias("rows"))
     context, context_at = write_table(_contexts(grouped, texts), "contexts")
-    drop_table(spark, classes_at)
+    drop_table(spark, classes_at, hot_at)
     free_shuffles(spark)
     few = context.where("not hot").select("k", "doc", "place", "context").repartition("k").sortWithinPartitions("k")
     dense = few.mapInArrow(_within_anchors, "doc long, s long, e long")
