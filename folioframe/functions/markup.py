@@ -82,7 +82,7 @@ def space_alignment(text: Column) -> Column:
     return F.when(text.contains("\\begin{"), text).otherwise(F.regexp_replace(text, r"(?<!\\)&", r"\\quad "))
 
 
-def split_double_scripts(text: Column, compat: bool = False) -> Column:
+def split_double_scripts(text: Column) -> Column:
     """x^a^b becomes {x^a}^b, for plain and braced arguments; adjacent marks (x^^2) become one. Bounded: two passes."""
     out = F.regexp_replace(text, r"([\^_])[\^_]+", "$1")
     arg = r"(?:\{[^{}]*\}|[A-Za-z0-9])"
