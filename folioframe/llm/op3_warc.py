@@ -130,6 +130,7 @@ def write(pages: DataFrame, archive: str, least: int = LEAST) -> DataFrame:
     last = F.max(F.struct(F.col(NUMBER).alias("number"), "page_id"))
     groups = sums.groupBy("sum", "n").agg(F.count(F.lit(1)).alias("copies"), last.alias("last")).where("copies > 1").select("sum", "n", "last")
     revisits = sums.join(groups, ["sum", "n"]).where(F.col(NUMBER) != F.col("last.number")).select(NUMBER, F.col("last.number").alias("to_number"), F.col("last.page_id").alias("to_page"))
+    revisits, _ = write_table(revisits, "revisits")  # its size is then known: where it is small, payloads are shuffled once
     rows = pages.join(revisits, NUMBER, "left").select(reversed_host_key("url").alias("key"), F.col(NUMBER).alias("number"), "page_id", "url", payload.alias("payload"), "to_number", "to_page")
     sorted_ = rows.repartitionByRange("key", "number").sortWithinPartitions("key", "number")
 
