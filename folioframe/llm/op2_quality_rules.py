@@ -78,7 +78,7 @@ def base_columns(df: DataFrame) -> DataFrame:
     placed = F.array_sort(F.transform("h8", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     some = F.size(F.array_distinct("h8")) < F.size("h8")
     sorted_ = eight.withColumn("s", F.when(some, placed))
-    again = lambda x, j: (F.get(F.col("s.h"), j + 1) == x.h) | ((j > 0) & (F.get(F.col("s.h"), j - 1) == x.h))
+    again = lambda x, j: (F.get("s", j + 1).getField("h") == x.h) | ((j > 0) & (F.get("s", j - 1).getField("h") == x.h))
     twice = sorted_.withColumn("p", F.sort_array(F.transform(F.filter("s", lambda x, j: F.coalesce(again(x, j), F.lit(False))), lambda x: x.i)))
     covered = F.transform("p", lambda x, j: F.coalesce(F.least(F.get("p", j + 1) - x, F.lit(WINDOW)), F.lit(WINDOW)))
     lines = twice.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
