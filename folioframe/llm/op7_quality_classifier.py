@@ -1,14 +1,14 @@
 """Quality classifier: an interpolated modified Kneser-Ney trigram model of trusted text, and quantiles of its perplexity.
 
-Training. Trusted rows are those labelled quality 1 and toxic 0. The model is fitted on a bounded sample of them, the
-least by a hash of doc_id: MAX_TRAIN_DOCS rows, of which a fifth is held out for the thresholds, and so are those beyond
-the first MAX_TRAIN_WORDS words. Words seen fewer than MIN_COUNT times become the class of their letters; a word like the one before it
-is an event of its own, which the model never learns. Counts, continuation counts, context sums and probabilities are
-DataFrame aggregations and joins, sharded by 64-bit names of n-grams; the highest order counts occurrences, the lower
-ones distinct left neighbours, each with three discounts.
+Training. Trusted rows are those labelled quality 1 and toxic 0. The model is fitted on all of them but a fifth (by a hash
+of doc_id), which is held out for the thresholds. Words seen fewer than MIN_COUNT times become the class of their
+letters; a word like the one before it is an event of its own, which the model never learns. Counts, continuation counts,
+context sums and probabilities are DataFrame aggregations and joins, sharded by 64-bit names of n-grams; the highest order
+counts occurrences, the lower ones distinct left neighbours, each with three discounts. Nothing is sampled.
 
-Scoring. Every whole text's n-grams are joined with the sorted shards of the model (of bounded size: at most three
-n-grams a training word) as they stream by. A document's score is its log perplexity, in nats a word.
+Scoring. Every whole text's n-grams are joined with the model's written tables of trigrams and bigrams, which grow with the
+trusted text; only what has a row a word is sent to the tasks. Equal texts have one score, found by a 64-bit name of the
+text. A document's score is its log perplexity, in nats a word.
 
 Thresholds. A language's threshold is the QUANTILE of its held-out rows' scores plus MARGIN nats; a language with fewer
 than MIN_HELD of them, or none given, takes the quantile of all. A document of n words is kept if it scores no higher
@@ -23,17 +23,16 @@ have no effect.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm.storage import drop_table, write_table
+from folioframe.llm.storage import drop_table, free_shuffles, write_table
 from folioframe.llm.trusted import trusted_ids
 
-MAX_TRAIN_DOCS = 5_000
-MAX_TRAIN_WORDS = 600_000
 MIN_COUNT = 3
 HELD_OUT = 5
 MIN_HELD = 20
@@ -42,7 +41,6 @@ MARGIN = 0.7
 FEW_WORDS = 12.0
 START, END, AGAIN = 1, 2, 3
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_TABLES = ("p3", "p2", "p1", "g3", "g2")
 
 
 def _name(text: str) -> int:
@@ -127,37 +125,48 @@ class Shard:
 
 @dataclass
 class Model:
+    """Words are sent to all tasks; what grows with the trusted text (p3, p2 and g3, by name) stays in written tables."""
+
     vocabulary: dict[str, int]
-    shards: dict[str, Shard]
+    words: dict[str, Shard]
+    tables: dict[str, DataFrame]
     base: float
     thresholds: dict[str, float] = field(default_factory=dict)
     overall: float | None = None
 
+    @cached_property
+    def shards(self) -> dict[str, Shard]:
+        """All of the model in this process, for few texts under a small model."""
+        return self.words | {name: _shard(df) for name, df in self.tables.items()}
+
     def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(words with the end, log perplexity) of each text."""
-        streams = [tokens(t, self.vocabulary) for t in texts]
-        sizes = np.array([len(t) - 2 for t in streams], np.int64)
-        if not len(sizes):
-            return sizes, np.empty(0)
-        joined = np.concatenate(streams)
-        ends = np.cumsum(sizes + 2)
-        inside = np.ones(len(joined), bool)
-        inside[ends - sizes - 2] = inside[ends - sizes - 1] = False
-        names = [x[inside[2:]] for x in ngrams(joined)]
-        p1 = self.shards["p1"].find(names[2])
-        p1 = np.where(np.isnan(p1), self.base, p1)
-        p2, g2 = self.shards["p2"].find(names[1]), self.shards["g2"].find(names[4])
-        p2 = np.where(np.isnan(p2), np.where(np.isnan(g2), 1, g2) * p1, p2)
-        p3, g3 = self.shards["p3"].find(names[0]), self.shards["g3"].find(names[3])
+        """(words with the end, log perplexity) of each text, by `shards`."""
+        if not len(texts):
+            return np.empty(0, np.int64), np.empty(0)
+        sizes, (k3, k2, k1, x3, _), low = _looked_up(texts, self.vocabulary, self.words, self.base)
+        p2, p3, g3 = self.shards["p2"].find(k2), self.shards["p3"].find(k3), self.shards["g3"].find(x3)
+        p2 = np.where(np.isnan(p2), low, p2)
         p3 = np.where(np.isnan(p3), np.where(np.isnan(g3), 1, g3) * p2, p3)
-        p3 = np.where(names[2] == AGAIN, self.base, p3)
-        total = np.add.reduceat(-np.log(p3.astype(np.float64)), ends - sizes - 2 - 2 * np.arange(len(sizes)))
-        return sizes, total / sizes
+        p3 = np.where(k1 == AGAIN, self.base, p3)
+        return sizes, np.add.reduceat(-np.log(p3.astype(np.float64)), np.cumsum(sizes) - sizes) / sizes
+
+
+def _shard(df: DataFrame) -> Shard:
+    got = df.toArrow()
+    return Shard(got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy())
 
-    def limits(self, langs: list[str | None], sizes: np.ndarray) -> list[float | None]:
-        """The highest score with which each text is kept."""
-        own = [self.thresholds.get(x, self.overall) for x in langs]
-        return [None if x is None else x + FEW_WORDS / n for x, n in zip(own, sizes.tolist(), strict=True)]
+
+def _looked_up(texts: list[str | None], vocabulary: dict[str, int], words: dict[str, Shard], base: float) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Words of each text with its end, the n-grams at each word, and its probability where no bigram is known."""
+    streams = [tokens(t, vocabulary) for t in texts]
+    sizes = np.array([len(t) - 2 for t in streams], np.int64)
+    joined = np.concatenate(streams)
+    ends = np.cumsum(sizes + 2)
+    inside = np.ones(len(joined), bool)
+    inside[ends - sizes - 2] = inside[ends - sizes - 1] = False
+    names = [x[inside[2:]] for x in ngrams(joined)]
+    p1, g2 = words["p1"].find(names[2]), words["g2"].find(names[4])
+    return sizes, names, np.where(np.isnan(g2), 1, g2) * np.where(np.isnan(p1), base, p1)
 
 
 def _discounts(counts: DataFrame) -> list[float]:
@@ -177,30 +186,27 @@ def _sums(counts: DataFrame, by: list[str], d: list[float]) -> DataFrame:
     return counts.groupBy(*by).agg(F.sum("c").cast("double").alias("total"), F.sum(_taken(d)).alias("freed"))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, max_words: int = MAX_TRAIN_WORDS, quantile: float = QUANTILE, margin: float = MARGIN) -> Model | None:
-    """The model of docs (doc_id, text, lang) that labels trust, or None without any."""
+def train(docs: DataFrame, labels: DataFrame, max_docs: int | None = None, max_words: int | None = None, quantile: float = QUANTILE, margin: float = MARGIN) -> Model | None:
+    """The model of docs (doc_id, text, lang) that labels trust, or None without any; bounds only where they are given."""
     spark = docs.sparkSession
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where("text is not null").join(F.broadcast(trusted_ids(labels, max_docs)), "doc_id")
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where("text is not null").join(trusted_ids(labels, max_docs), "doc_id")
     sample, sample_at = write_table(chosen, "trusted")
-    words = F.size(F.split(F.trim("text"), r"[\x20\x09-\x0D]+")) + 1
-    sizes = sorted((r.h, r.doc_id, r.n) for r in sample.groupBy("h", "doc_id").agg(F.sum(words).alias("n")).collect())  # at most max_docs rows
-    within, total = [], 0
-    for _, doc_id, n in sizes:
-        total += n
-        if total > max_words:
-            break
-        within.append(doc_id)
-    if not within:
+    if sample.isEmpty():
         drop_table(spark, sample_at)
         return None
-    ids = spark.createDataFrame([(d, True) for d in within], "doc_id long, within boolean")
-    sample = sample.join(F.broadcast(ids), "doc_id", "left")
-    held = F.col("within").isNull() | (F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(HELD_OUT)) == 0)
+    held = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(HELD_OUT)) == 0
+    if max_words is not None:
+        within = _within(sample, max_words)
+        if not within:
+            drop_table(spark, sample_at)
+            return None
+        sample = sample.join(spark.createDataFrame([(d, True) for d in within], "doc_id long, within boolean"), "doc_id", "left")
+        held = F.col("within").isNull() | held
     own = sample.where(~held)
     if own.isEmpty():
-        own, held = sample.where("within"), F.lit(True)
+        own, held = sample if max_words is None else sample.where("within"), F.lit(True)
     counted = own.select(F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("w")).where("w <> ''").groupBy("w").count().where(F.col("count") >= MIN_COUNT)
-    vocabulary = {r.w: _name(r.w) for r in counted.toLocalIterator()}  # at most max_words / MIN_COUNT words
+    vocabulary = {r.w: _name(r.w) for r in counted.toLocalIterator()}
     sent = spark.sparkContext.broadcast(vocabulary)
 
     def grams(batches):
@@ -220,18 +226,17 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, ma
     p1 = c1.select("k1", ((F.col("c") - _taken(d1)) / one.total + base).alias("p1"))
     s2, s3 = _sums(c2, ["x2"], d2), _sums(c3, ["x3"], d3)
     p2 = c2.join(s2, "x2").join(p1, "k1").select("k2", ((F.col("c") - _taken(d2)) / F.col("total") + F.col("freed") / F.col("total") * F.col("p1")).alias("p2"))
-    p2, p2_at = write_table(p2, "bigram-odds")
+    p2, _ = write_table(p2, "bigram-odds")
     p3 = c3.join(s3, "x3").join(p2, "k2").select("k3", ((F.col("c") - _taken(d3)) / F.col("total") + F.col("freed") / F.col("total") * F.col("p2")).alias("p3"))
     gamma = (F.col("freed") / F.col("total")).alias("g")
-    frames = {"p3": p3, "p2": p2, "p1": p1, "g3": s3.select("x3", gamma), "g2": s2.select("x2", gamma)}
-    shards = {}
-    for name in _TABLES:
-        got = frames[name].toArrow()  # at most max_words rows
-        shards[name] = Shard(got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy())
-    model = Model(vocabulary, shards, float(base))
-    drop_table(spark, c3_at, c2_at, c1_at, p2_at)
+    words = {"p1": _shard(p1), "g2": _shard(s2.select("x2", gamma))}  # a row a word
+    p3, _ = write_table(p3, "trigram-odds")
+    g3, _ = write_table(s3.select("x3", gamma), "bigram-rests")
+    model = Model(vocabulary, words, {"p3": p3, "p2": p2, "g3": g3}, float(base))
+    drop_table(spark, c3_at, c2_at, c1_at)
     sent.unpersist()
-    scored = _scored(sample.where(held), model).select("lang", "log_perplexity").toArrow().to_pandas()  # at most max_docs rows
+    free_shuffles(spark)
+    scored = _scored(sample.where(held), model).select("lang", "log_perplexity").toArrow().to_pandas()
     if len(scored):
         model.overall = float(scored.log_perplexity.quantile(quantile)) + margin
         for lang, x in scored.groupby("lang").log_perplexity:
@@ -241,20 +246,54 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, ma
     return model
 
 
-def _scored(docs: DataFrame, model: Model) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def _within(sample: DataFrame, max_words: int) -> list[int]:
+    """Ids of the least hash that have max_words words in all."""
+    words = F.size(F.split(F.trim("text"), r"[\x20\x09-\x0D]+")) + 1
+    out, total = [], 0
+    for _, doc_id, n in sorted((r.h, r.doc_id, r.n) for r in sample.groupBy("h", "doc_id").agg(F.sum(words).alias("n")).collect()):
+        total += n
+        if total > max_words:
+            break
+        out.append(doc_id)
+    return out
+
+
+def _text_scores(docs: DataFrame, model: Model) -> DataFrame:
+    """(t, n_words, log_perplexity) of each different text, t being its name: joins of all n-grams with the model's tables."""
+    sent = docs.sparkSession.sparkContext.broadcast((model.vocabulary, model.words, model.base))
 
     def run(batches):
+        vocabulary, words, base = sent.value
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sizes, scores = sent.value.scores(part.column(2).to_pylist())
-                limits = sent.value.limits(part.column(1).to_pylist(), sizes)
-                kept = [limit is None or bool(s <= limit) for s, limit in zip(scores, limits, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes), pa.array(scores), pa.array(limits, pa.float64()), pa.array(kept)], ["doc_id", "lang", "n_words", "log_perplexity", "threshold", "kept"])
+                sizes, (k3, k2, k1, x3, _), low = _looked_up(part.column(1).to_pylist(), vocabulary, words, base)
+                t, again = part.column(0).to_numpy(), k1 == AGAIN
+                repeats = np.add.reduceat(again.astype(np.int64), np.cumsum(sizes) - sizes)
+                some, new = repeats > 0, ~again
+                # a text's repeated words are one row, under a name that no n-gram has
+                columns = [np.concatenate([x.view(np.int64)[new], t[some]]) for x in (k3, k2, x3)]
+                columns += [np.concatenate([np.repeat(t, sizes)[new], t[some]]), np.concatenate([np.repeat(sizes, sizes)[new], sizes[some]])]
+                columns += [np.concatenate([low[new], np.full(some.sum(), base)]), np.concatenate([np.ones(new.sum(), np.int64), repeats[some]])]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["k3", "k2", "x3", "t", "n", "low", "c"])
+
+    each = docs.select(_text_name("text").alias("t"), F.col("text").cast("string").alias("text")).mapInArrow(run, "k3 long, k2 long, x3 long, t long, n long, low double, c long")
+    found = each.join(model.tables["p3"], "k3", "left").join(model.tables["p2"], "k2", "left").join(model.tables["g3"], "x3", "left")
+    p = F.coalesce("p3", F.coalesce("g", F.lit(1.0)) * F.coalesce("p2", "low"))
+    # the mean is the same however often a text is repeated
+    return found.groupBy("t").agg(F.first("n").alias("n_words"), (-F.sum(F.col("c") * F.log(p)) / F.sum("c")).alias("log_perplexity"))
+
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang string, n_words long, log_perplexity double, threshold double, kept boolean")
+def _text_name(text) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+
+
+def _scored(docs: DataFrame, model: Model) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), _text_name("text").alias("t"))
+    own = docs.sparkSession.createDataFrame(list(model.thresholds.items()), "lang string, own double")
+    threshold = F.coalesce("own", F.lit(model.overall).cast("double")) + FEW_WORDS / F.col("n_words")
+    found = rows.join(_text_scores(docs, model), "t").join(F.broadcast(own), "lang", "left").withColumn("threshold", threshold)
+    return found.select("doc_id", "lang", "n_words", "log_perplexity", "threshold", F.coalesce(F.col("log_perplexity") <= F.col("threshold"), F.lit(True)).alias("kept"), "t")
 
 
 def classify(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -263,25 +302,15 @@ def classify(docs: DataFrame, model: Model | None) -> DataFrame:
         n = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")) + 1
         none = F.lit(None).cast("double")
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", n.cast("long").alias("n_words"), none.alias("log_perplexity"), none.alias("threshold"), F.lit(True).alias("kept"))
-    return _scored(docs, model)
+    return _scored(docs, model).drop("t")
 
 
 def keep_good(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows of docs that the model keeps, with all their columns as they are."""
     if model is None:
         return docs
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    text, lang = docs.columns.index("text"), docs.columns.index("lang")
-
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                sizes, scores = sent.value.scores(part.column(text).to_pylist())
-                limits = sent.value.limits(part.column(lang).to_pylist(), sizes)
-                yield part.filter(pa.array([limit is None or bool(s <= limit) for s, limit in zip(scores, limits, strict=True)], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    bad = _scored(docs, model).where(~F.col("kept")).select(F.col("t").alias("_t"), F.col("lang").alias("_lang")).distinct()
+    return docs.join(bad, (_text_name(docs["text"]) == bad["_t"]) & docs["lang"].cast("string").eqNullSafe(bad["_lang"]), "left_anti")
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,3 +112,17 @@ def test_held_out_accuracy(spark):
     found = op.op7_quality_classifier(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
     wrong = {(r.quality, r.kept): r["count"] for r in found.groupBy("quality", "kept").count().collect()}
     assert wrong.get((0, True), 0) <= 2 and wrong.get((1, False), 0) <= 2
+
+
+def test_every_trusted_row_is_learnt_and_joins_equal_plain_dictionaries(spark, tables):
+    docs, labels, rows = tables
+    own, last = op.train(docs, labels), "zu ka " * 700_000  # alone more words than the cap that there was
+    ids = spark.createDataFrame([(i,) for i in range(2000, 2020)], "i long")
+    at = ids.where(F.pmod(F.xxhash64("i", F.lit(11)), F.lit(op.HELD_OUT)) != 0).orderBy(F.xxhash64("i", F.lit(7)).desc()).first().i
+    more = docs.unionByName(spark.createDataFrame([(at, last, "en")], "doc_id long, text string, lang string").withColumn("kept", F.lit("")).withColumn("h", F.lit(1)))
+    model = op.train(more, labels.union(spark.createDataFrame([(at, 1, 0)], labels.schema)))
+    assert "zu" in model.vocabulary and "zu" not in own.vocabulary
+    got = {r.doc_id: (r.n_words, r.log_perplexity) for r in op.classify(docs, own).where("doc_id is not null").collect()}
+    sizes, want = own.scores([t for _, t, _ in rows])
+    for (i, _, _), n, x in zip(rows, sizes.tolist(), want, strict=True):
+        assert i is None or (got[i][0] == n and abs(got[i][1] - x) < 1e-4)
