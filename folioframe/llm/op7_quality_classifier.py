@@ -197,9 +197,6 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int | None = None, max_w
     held = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(HELD_OUT)) == 0
     if max_words is not None:
         within = _within(sample, max_words)
-        if not within:
-            drop_table(spark, sample_at)
-            return None
         sample = sample.join(spark.createDataFrame([(d, True) for d in within], "doc_id long, within boolean"), "doc_id", "left")
         held = F.col("within").isNull() | held
     own = sample.where(~held)
@@ -247,15 +244,15 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int | None = None, max_w
 
 
 def _within(sample: DataFrame, max_words: int) -> list[int]:
-    """Ids of the least hash that have max_words words in all."""
+    """Ids of the least hash that have max_words words in all; one that does not fit is passed over, and the shortest stays if none fits."""
     words = F.size(F.split(F.trim("text"), r"[\x20\x09-\x0D]+")) + 1
+    sizes = sorted((r.h, r.doc_id, r.n) for r in sample.groupBy("h", "doc_id").agg(F.sum(words).alias("n")).collect())
     out, total = [], 0
-    for _, doc_id, n in sorted((r.h, r.doc_id, r.n) for r in sample.groupBy("h", "doc_id").agg(F.sum(words).alias("n")).collect()):
-        total += n
-        if total > max_words:
-            break
-        out.append(doc_id)
-    return out
+    for _, doc_id, n in sizes:
+        if total + n <= max_words:
+            total += n
+            out.append(doc_id)
+    return out or [min(sizes, key=lambda x: x[2])[1]]
 
 
 def _text_scores(docs: DataFrame, model: Model) -> DataFrame:

@@ -126,3 +126,13 @@ def test_every_trusted_row_is_learnt_and_joins_equal_plain_dictionaries(spark, t
     sizes, want = own.scores([t for _, t, _ in rows])
     for (i, _, _), n, x in zip(rows, sizes.tolist(), want, strict=True):
         assert i is None or (got[i][0] == n and abs(got[i][1] - x) < 1e-4)
+
+
+def test_one_long_row_does_not_end_training(spark, tables):
+    docs, labels, _ = tables
+    trusted = docs.join(op.trusted_ids(labels, None).select("doc_id", F.col("h").alias("hash")), "doc_id").orderBy("hash")
+    first = trusted.first().doc_id
+    longer = docs.withColumn("text", F.when(F.col("doc_id") == first, F.repeat(F.lit("zu ka "), 500)).otherwise(F.col("text")))
+    model = op.train(longer, labels, max_words=600)
+    assert model is not None and "aba" in model.vocabulary and "zu" not in model.vocabulary
+    assert op.train(docs, labels, max_words=1) is not None
