@@ -10,8 +10,8 @@ Scoring. Every whole text's n-grams are joined with the model's written tables o
 trusted text; only what has a row a word is sent to the tasks. Equal texts have one score, found by a 64-bit name of the
 text. A document's score is its log perplexity, in nats a word.
 
-Thresholds. A language's threshold is the QUANTILE of its held-out rows' scores plus MARGIN nats; a language with fewer
-than MIN_HELD of them, or none given, takes the quantile of all. A document of n words is kept if it scores no higher
+Thresholds. A language's threshold is the QUANTILE of all its held-out rows' scores plus MARGIN nats; a language with fewer
+than MIN_HELD of them, or none given, takes the quantile of all. If no row is held out, those of the model serve. A document of n words is kept if it scores no higher
 than this plus FEW_WORDS / n nats, as the score of few words says little. Without
 trusted rows there is no model: score and threshold are null, and everything is kept.
 
@@ -233,12 +233,13 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int | None = None, max_w
     drop_table(spark, c3_at, c2_at, c1_at)
     sent.unpersist()
     free_shuffles(spark)
-    scored = _scored(sample.where(held), model).select("lang", "log_perplexity").toArrow().to_pandas()
-    if len(scored):
-        model.overall = float(scored.log_perplexity.quantile(quantile)) + margin
-        for lang, x in scored.groupby("lang").log_perplexity:
-            if len(x) >= MIN_HELD:
-                model.thresholds[lang] = float(x.quantile(quantile)) + margin
+    rest = sample.where(held)
+    scored, scored_at = write_table(_scored(own if rest.isEmpty() else rest, model).select("lang", "log_perplexity"), "held-out")
+    at = F.percentile("log_perplexity", F.lit(quantile)).alias("at")
+    model.overall = scored.agg(at).first().at + margin
+    limits = scored.where("lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), at).where(F.col("n") >= MIN_HELD)
+    model.thresholds = {r.lang: r["at"] + margin for r in limits.toLocalIterator()}  # a row a language
+    drop_table(spark, scored_at)
     drop_table(spark, sample_at)
     return model
 

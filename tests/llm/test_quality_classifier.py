@@ -136,3 +136,17 @@ def test_one_long_row_does_not_end_training(spark, tables):
     model = op.train(longer, labels, max_words=600)
     assert model is not None and "aba" in model.vocabulary and "zu" not in model.vocabulary
     assert op.train(docs, labels, max_words=1) is not None
+
+
+def test_thresholds_are_of_all_held_out_rows(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices(WORDS, k=4)), "xx" if i % 100 == 0 else "en") for i in range(15_000)]  # 1 % of 5,000 would be too few
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(op.HELD_OUT)) == 0
+    texts = [r.text for r in docs.where("lang = 'xx'").where(held).collect()]
+    assert len(texts) >= op.MIN_HELD
+    model = op.train(docs, docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")))
+    assert set(model.thresholds) == {"xx", "en"}
+    assert abs(model.thresholds["xx"] - np.quantile(model.scores(texts)[1], op.QUANTILE) - op.MARGIN) < 1e-3
+    one = docs.where(~held).limit(1)
+    assert op.train(one, one.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))).overall is not None
