@@ -172,7 +172,7 @@ class Reader:
     def _open(self, part: str) -> None:
         if part != self.part:
             with self.store.open_input_file(f"{self.folder}/{part}.dir") as f:
-                rows = [x.rsplit(" ", 3) for x in f.read().decode("utf-8", "surrogatepass").splitlines()]
+                rows = [x.rsplit(" ", 3) for x in f.read().decode("utf-8", "surrogatepass").split("\n")[:-1]]
             self.directory, self.places = [x[0] for x in rows], [(int(x[1]), int(x[2])) for x in rows]
             self.index, self.warc = (self.store.open_input_file(f"{self.folder}/{part}.{x}") for x in ("idx", "warc.gz"))
             self.part, self.block = part, None
@@ -188,7 +188,7 @@ class Reader:
             return None
         if j != self.block:
             offset, length = self.places[j]
-            lines = zlib.decompress(self.index.read_at(length, offset)).decode("utf-8", "surrogatepass").splitlines()
+            lines = zlib.decompress(self.index.read_at(length, offset)).decode("utf-8", "surrogatepass").split("\n")[:-1]
             self.lines = [x.rsplit(" ", 2) for x in lines]
             self.keys, self.block = [x[0] for x in self.lines], j
         k = bisect.bisect_left(self.keys, key)
@@ -197,8 +197,8 @@ class Reader:
         return parse(self.warc.read_at(int(self.lines[k][2]), int(self.lines[k][1])))
 
 
-def lookup(queries: DataFrame, archive: str, directory: DataFrame) -> DataFrame:
-    """The records of queries (url, NUMBER) that the archive has."""
+def lookup(queries: DataFrame, archive: str, directory: DataFrame, whole: bool = False) -> DataFrame:
+    """The records of queries (url, NUMBER) that the archive has; a key that it lacks is an error if it has to be whole."""
     least = directory.groupBy("part").agg(F.min("first").alias("first"))
     starts = sorted((r.first_, r.part) for r in least.withColumnRenamed("first", "first_").collect())  # a row an archive part
     keyed = queries.select(reversed_host_key("url").alias("key"), F.col(NUMBER).alias("number")).repartitionByRange("key", "number").sortWithinPartitions("key", "number")
@@ -208,7 +208,10 @@ def lookup(queries: DataFrame, archive: str, directory: DataFrame) -> DataFrame:
     def run(batches):
         reader = Reader(archive, starts)
         for batch in batches:
-            found = [reader.find(_key(*x)) for x in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            keys = [_key(*x) for x in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            found = [reader.find(x) for x in keys]
+            if whole and None in found:
+                raise ValueError(f"the archive lacks the capture {keys[found.index(None)]!r}")
             found = [x for x in found if x is not None]
             yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in found], t) for n, t in zip(names, kinds, strict=True)], names)
 
@@ -219,7 +222,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """Every page's record, written to a new archive in the shared folder and looked up there again."""
     archive = fresh_path(pages.sparkSession, "warc")
     own = numbered(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"), "page_id", "html")
-    return lookup(own, archive, write(own, archive))
+    return lookup(own, archive, write(own, archive), whole=True)
 
 
 def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,3 +82,20 @@ def test_query_equals_its_sql(spark):
     rows = c.sql("SELECT page_id, url, html FROM pages").fetchall()
     want = sorted(c.sql("SELECT page_id, payload_bytes, payload_digest, record_type, refers_to FROM (" + op.ORACLE_SQL + ") q").fetchall(), key=str)
     assert taken(op.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string"))) == want
+
+
+@pytest.mark.parametrize("block", [1, 300])
+def test_other_line_ends_in_urls(spark, monkeypatch, block):
+    monkeypatch.setattr(op, "BLOCK", block)
+    rows = [(i, "http://h%d.example.com/a%sb %d" % (i % 3, "\u0085\u2028\u2029\x1c\n\u00a0x"[i % 7], i), "t%d" % i) for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert taken(op.round_trip(df)) == sorted(brute(rows), key=str)
+
+
+def test_a_missing_capture_is_an_error(spark):
+    df = numbered(spark.createDataFrame([(1, "http://a.b/c", "x"), (2, "http://a.b/d", "y")], "page_id long, url string, html string"), "page_id", "html")
+    archive = fresh_path(spark, "test")
+    directory = op.write(df.where("page_id = 1"), archive)
+    assert op.lookup(df, archive, directory).count() == 1
+    with pytest.raises(Exception, match="lacks the capture"):
+        op.lookup(df, archive, directory, whole=True).collect()
