@@ -1,4 +1,4 @@
-"""Suffix-array deduplication of exact byte strings by distributed prefix doubling.
+"""Suffix-array deduplication of exact byte strings by grouping hashes around anchors, in place of distributed prefix doubling.
 
 A byte is removed if a string of LENGTH bytes that covers it also starts earlier, in document order. To know that, the
 positions of all texts must be ranked by their first LENGTH bytes. Prefix doubling ranks positions by pairs of ranks at
