@@ -41,7 +41,7 @@ SELECT p_partkey AS formula_id, CASE p_partkey % 16
 FROM {part}
 """
 MIXED = """
-SELECT item_id * 10 + k AS id, concat(s, ' ', substr(text, 1, 40)) AS text FROM {benchmark} b CROSS JOIN (
+SELECT item_id * 10 + k AS id, concat(s, ' ', text) AS text FROM {benchmark} b CROSS JOIN (
   SELECT 0 AS k, 'ab中文cd' AS s UNION ALL SELECT 1, 'end.Next,word' UNION ALL SELECT 2, '你好,world(x)再见' UNION ALL SELECT 3, 'f(x)=y;中' UNION ALL SELECT 4, 'plain text' UNION ALL SELECT 5, '漢字漢字') m
 """
 BLOCKS = """

@@ -213,3 +213,13 @@ def test_stub_and_cli(capsys, monkeypatch):
 def test_any_markdown_ends(text):
     for kind, level, body, _ in prose.from_markdown(text):
         assert kind in ("heading", "paragraph", "formula") and (kind == "heading") == (level > 0) and isinstance(body, str)
+
+
+def test_spaces_are_inserted_in_whole_texts(spark):
+    from folioframe.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    got = {r.id: r.text for r in catalogue.queries()["txt_insert_spaces"](spark, sf).collect()}
+    texts = {r.item_id: r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    assert max(map(len, texts.values())) > 40 and len(got) == 6 * len(texts)
+    assert all("".join(got[i * 10 + 4].split()) == "".join(("plain text" + x).split()) for i, x in texts.items())
