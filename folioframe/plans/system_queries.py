@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from folioframe.fixtures import duck_sql, view
 from folioframe.functions import symbols
-from folioframe.operators import boxes as b
 from folioframe.operators import convert as c
 from folioframe.operators import images as im
 from folioframe.operators import recognize as r
@@ -131,7 +130,7 @@ QUERIES = {
     "eng_merge_regions": (lambda sp, sf: (lambda v: r.merge_regions(_split(v, 1), _split(v, 0)))(view(sp, sf, "v_boxes")), _MERGE),
     "eng_limited_request": (lambda sp, sf: r.limited(view(sp, sf, "v_boxes"), 2, 0.9).select("image_id", "box_id"), _LIMITED),
     "stream_items": (lambda sp, sf: r.stream_items(view(sp, sf, "v_boxes")), _ITEMS),
-    "mock_recognition": (lambda sp, sf: r.mock_recognition(b.most_confident(view(sp, sf, "v_boxes"), 1).drop("place"), view(sp, sf, "v_formulas")), None),
+    "mock_recognition": (lambda sp, sf: r.mock_recognition(view(sp, sf, "v_boxes"), view(sp, sf, "v_formulas")), None),
     "src_checksum": (_checksums, "SELECT CAST(doc_id AS VARCHAR) AS path, doc_id % 3 <> 2 AS ok FROM documents"),
     "src_candidates": (_candidates, "SELECT * FROM (VALUES ('a', 'model.onnx'), ('b', 'another.onnx'), ('d', 'model_quantized.onnx')) v(dir, file)"),
     "bind_validate": (_requests, "SELECT image_id, box_id, class_id = 1 AS ok FROM {v_boxes} b"),

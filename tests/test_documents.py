@@ -223,3 +223,12 @@ def test_spaces_are_inserted_in_whole_texts(spark):
     texts = {r.item_id: r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
     assert max(map(len, texts.values())) > 40 and len(got) == 6 * len(texts)
     assert all("".join(got[i * 10 + 4].split()) == "".join(("plain text" + x).split()) for i, x in texts.items())
+
+
+def test_every_box_is_recognised(spark):
+    from folioframe.fixtures import view
+    from folioframe.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    got = catalogue.queries()["mock_recognition"](spark, sf)
+    assert got.count() == view(spark, sf, "v_boxes").count() == got.select("image_id", "box_id").distinct().count()
