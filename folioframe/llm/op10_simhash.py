@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioframe.llm.components import components
-from folioframe.llm.ordering import NUMBER, numbered
+from folioframe.llm.ordering import numbered
 from folioframe.llm.storage import drop_table, write_table
 
 RADIUS = 4
@@ -128,20 +128,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = df.sparkSession
     prints, _ = write_table(fingerprints(df, id_col, text_col), "simhash")
     distinct, distinct_at = write_table(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    roots, roots_at = write_table(components(links(distinct, radius)), "simhash-roots")
+    roots = components(links(distinct, radius))
     with_root = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = with_root.groupBy("root").agg(F.min("least").alias("component_id"))
     named, _ = write_table(with_root.join(least, "root").select("fp", "component_id"), "simhash-components")
-    drop_table(spark, distinct_at, roots_at)
+    drop_table(spark, distinct_at)
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", radius: int = RADIUS) -> DataFrame:
     """The first row, in document order, of each component; all columns as they are."""
-    named = numbered(docs, id_col)
-    groups = near_duplicates(named, NUMBER, "text", radius)
-    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias(NUMBER))
-    return named.join(first, NUMBER, "left_semi").select(*docs.columns)
+    named, number = numbered(docs, id_col)
+    groups = near_duplicates(named, number, "text", radius)
+    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias(number))
+    return named.join(first, number, "left_semi").select(*[named[c] for c in docs.columns])
 
 
 def hexadecimal(fp: Column) -> Column:

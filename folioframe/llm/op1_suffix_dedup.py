@@ -1,26 +1,28 @@
-"""Suffix-array deduplication of exact byte strings by grouping hashes around anchors, in place of distributed prefix doubling.
+"""Suffix-array deduplication of exact byte strings: ranks of positions, sorted by Spark, over strings that grow until unique or past the threshold.
 
 A byte is removed if a string of LENGTH bytes that covers it also starts earlier, in document order. To know that, the
-positions of all texts must be ranked by their first LENGTH bytes. Prefix doubling ranks positions by pairs of ranks at
-growing offsets, and leaves out what has become unique. Ranking every byte of the corpus in every round would move many
-times its size, so the rounds rank positions from sparse to dense; a rank is a 64-bit name, equal for equal strings.
+positions of all texts must be ranked by their first LENGTH bytes. Textbook prefix doubling sorts (rank, rank at an offset)
+of every position in every round, which moves many times the corpus. Here the rounds are sparse: neighbouring positions
+share a string as long as they can, and only those that are still in doubt are ranked apart.
 
 1. Anchors. The window of LENGTH bytes at a position holds LENGTH - GRAM + 1 strings of GRAM bytes; the one of least
-   hash, the leftmost of equals, is its anchor. Equal windows have their anchors at equal offsets. About one byte in 35
-   is an anchor. Spark ranks the anchors by their GRAM bytes; those of unique rank go, and with them all their windows.
-2. The anchors that are left are ranked by all the bytes of all windows that share the anchor (past LENGTH). Where this
-   rank is not new, every one of these windows occurs earlier, and all their bytes go. If the strings of an anchor all
-   have one rank, the earliest is unique in all its windows.
-3. Of the other anchors, where a repeated string begins or ends, the earliest of each rank takes part: here every byte
-   position is ranked. Spark sorts the strings around them by anchor, and ranks double from FIRST bytes until a position
-   is unique or its rank spans LENGTH bytes. Positions of a rank that is not new occur earlier. An anchor with more than
-   HOT different strings is not gathered: the names of its windows are aggregated and joined.
-
-Groups are never gathered: counts and earliest positions are aggregated before a shuffle, and joins can split a hot key.
-Step 2's and 3's tables are in the shared folder. Document order is doc_id, nulls last, then the text's hash.
+   hash, the leftmost of equals, is its anchor. Equal windows have their anchors at equal shifts. About one byte in 35
+   is an anchor. Spark counts the anchors' strings; unique ones go, and with them all windows around them.
+2. A round ranks candidates: an anchor with a range of shifts, at first all of them. The core is what all windows of the
+   range have in common (GRAM bytes at first), the hull all their bytes (past LENGTH). Candidates are grouped by the rank
+   of their cores. One alone in its group is unique, and so are all its windows: it goes. Of candidates with equal hulls,
+   all but the earliest are repeats: all their bytes are removed, and they go. If one hull is left in a group, its
+   windows are unique there. Where several are left, each is split into WAYS ranges, and their cores, longer than
+   before, are ranked in the next round. A range of one shift has the window itself as core and hull, so rounds end.
+
+Groups are never gathered, whatever their size: counts, least hulls and earliest positions are aggregated before a
+shuffle, and joins can split a hot key. Ranks are names of 128 bits, equal for equal strings; the first round's cores have
+64, which can only put more candidates in doubt. Tables between steps are in the shared folder. Document order is doc_id,
+nulls last, then the text's hash. A document's removed runs are merged in a stream; they and its text are one row.
 
 Null texts count as empty; texts shorter than LENGTH lose nothing; repeated rows and ids count as documents of their
-own, in the order above; an empty table gives an empty result; other columns have no effect (and stay, in `deduplicate`).
+own, in the order above; an empty table gives an empty result; other columns have no effect (and stay, in `deduplicate`,
+whatever their names).
 """
 
 from __future__ import annotations
@@ -32,28 +34,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm.ordering import NUMBER, numbered
-from folioframe.llm.storage import drop_table, free_shuffles, write_table
+from folioframe.llm.ordering import numbered
+from folioframe.llm.storage import drop_table, free_name, write_table
 
 LENGTH = 100
 GRAM = 24
-FIRST = 25
-HOT = 1 << 14
-ROWS_AT_ONCE = 1 << 13
+WAYS = 4
 CHUNK = 1 << 20
-_BASE = 0x9E3779B97F4A7C15
-_POWERS: list[np.ndarray] = []
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_POWERS: dict[int, list[np.ndarray]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers(n: int, base: int) -> list[np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        n = max(n, 1 << 16)
-        ones = [np.full(n, x, np.uint64) for x in (_BASE, pow(_BASE, -1, 1 << 64))]
+    if base not in _POWERS or len(_POWERS[base][0]) < n:
+        ones = [np.full(max(n, 1 << 16), x, np.uint64) for x in (base, pow(base, -1, 1 << 64))]
         for x in ones:
             x[0] = 1
-        _POWERS[:] = [np.cumprod(x, dtype=np.uint64) for x in ones]
-    return _POWERS[0], _POWERS[1]
+        _POWERS[base] = [np.cumprod(x, dtype=np.uint64) for x in ones]
+    return _POWERS[base]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -63,10 +62,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Names:
-    """64-bit names of substrings of a byte array."""
+    """64-bit names of substrings of a byte array, under one base."""
 
-    def __init__(self, data: np.ndarray):
-        up, self.down = _powers(len(data) + 1)
+    def __init__(self, data: np.ndarray, base: int = _BASES[0]):
+        up, self.down = _powers(len(data) + 1, base)
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64)])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -77,6 +76,11 @@ class Names:
         return _mix((self.sums[length:] - self.sums[:n]) * self.down[:n])
 
 
+def _told_apart(name: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The name of a string together with two small numbers."""
+    return _mix(name ^ _mix(x.astype(np.uint64) << np.uint64(8) | y.astype(np.uint64)))
+
+
 def _window_minima(v: np.ndarray, width: int) -> np.ndarray:
     """Minimum of every run of width values, from running minima of blocks in both directions."""
     n = len(v)
@@ -88,198 +92,162 @@ def _window_minima(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(name of the gram, name of all windows' bytes, first window, number of windows, anchor's offset in the first) of each anchor."""
+def anchors(data: bytes, hulls: bool = True) -> tuple[np.ndarray, ...]:
+    """(name of the gram, first window, number of windows, anchor's offset in the first, two names of the hull) of each anchor."""
     parts = []
     whole = np.frombuffer(data, np.uint8)
-    for at in range(0, max(0, len(whole) - length + 1), CHUNK):
-        part = whole[at : at + CHUNK + length - 1]
+    for at in range(0, max(0, len(whole) - LENGTH + 1), CHUNK):
+        part = whole[at : at + CHUNK + LENGTH - 1]
         with np.errstate(over="ignore"):
             names = Names(part)
-            grams = names.all(gram)
+            grams = names.all(GRAM)
             order = (grams & np.uint64(0xFFFFFFFFFF000000)) | np.arange(len(grams), dtype=np.uint64)
-            least = (_window_minima(order, length - gram + 1) & np.uint64(0xFFFFFF)).astype(np.int64)
+            least = (_window_minima(order, LENGTH - GRAM + 1) & np.uint64(0xFFFFFF)).astype(np.int64)
             change = np.flatnonzero(np.diff(least)) + 1
             first, last = np.concatenate([[0], change]), np.concatenate([change - 1, [len(least) - 1]])
             anchor = least[first]
-            span = names.of(first, last + length)
-            span = _mix(span ^ ((last - first).astype(np.uint64) << np.uint64(8)) ^ (anchor - first).astype(np.uint64))
-        parts.append((grams[anchor], span, first + at, last - first + 1, anchor - first))
+            both = (names, Names(part, _BASES[1])) if hulls else ()
+            spans = [_told_apart(x.of(first, last + LENGTH), last - first, anchor - first).view(np.int64) for x in both]
+        parts.append((grams[anchor].view(np.int64), first + at, last - first + 1, anchor - first, *spans))
     if not parts:
-        return tuple(np.empty(0, np.uint64 if i < 2 else np.int64) for i in range(5))
+        return (np.empty(0, np.int64),) * (6 if hulls else 4)
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _anchors_of(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """Anchors of a batch of (doc, text), with the documents, and place = first << 16 | windows << 8 | offset."""
-    docs, found = [], []
-    for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-        x = anchors((text or "").encode("utf-8", "surrogatepass"))
-        if len(x[0]):
-            docs.append(np.full(len(x[0]), doc, np.int64))
-            found.append(x)
-    if not found:
-        return tuple(np.empty(0, np.int64) for _ in range(4))
-    gram, span, first, n, offset = (np.concatenate(x) for x in zip(*found, strict=True))
-    return gram.view(np.int64), span.view(np.int64), np.concatenate(docs), first << 16 | n << 8 | offset
+def _grams(batches):
+    """(k) of every anchor."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            found = [anchors((t or "").encode("utf-8", "surrogatepass"), False)[0] for t in batch.column(1).slice(at, 512).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], ["k"])
 
 
-def _emit(batches, columns: int):
-    names = ["k", "c", "doc", "place"][:columns]
+def _candidates(batches):
+    """(k, c1, c2, doc, place) of every anchor, with place = first << 16 | windows << 8 | offset."""
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _anchors_of(batch.slice(at, 512))[:columns]], names)
-
-
-def _doubled(context: list[bytes], group: np.ndarray, offset: np.ndarray, windows: np.ndarray, doc: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, start) of the windows that occur earlier within their anchor's group, by prefix doubling from FIRST bytes."""
-    sizes = np.fromiter(map(len, context), np.int64, len(context))
-    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    row = np.repeat(np.arange(len(context)), windows)
-    nth = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-    at = begin[row] + nth
-    with np.errstate(over="ignore"):
-        rank = Names(np.frombuffer(b"".join(context), np.uint8)).all(FIRST)
-        salt = _mix(group.view(np.uint64)[row] ^ _mix((offset[row] - nth).astype(np.uint64)))
-        held, span = np.arange(len(row)), FIRST
-        while True:
-            parts = [rank[at[held] + k] for k in range(0, span, FIRST)]
-            pair = salt[held]
-            for p in parts:
-                pair = _mix(pair * np.uint64(_BASE) + p)
-            _, inverse, count = np.unique(pair, return_inverse=True, return_counts=True)
-            again = count[inverse] > 1
-            held = held[again]
-            if span >= LENGTH or not len(held):
-                break
-            span = min(2 * span, LENGTH)
-    if not len(held):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    names = inverse[again]
-    docs, starts = doc[row[held]], first[row[held]] + nth[held]
-    order = np.lexsort((starts, docs, names))
-    earliest = np.concatenate([[True], np.diff(names[order]) != 0])
-    rest = order[~earliest]
-    return docs[rest], starts[rest]
-
-
-def _contexts(grouped: DataFrame, texts: DataFrame) -> DataFrame:
-    """(k, hot, doc, place, context): the bytes of all windows of each anchor in grouped (doc, array of k, hot, place)."""
+            part = batch.slice(at, 512)
+            found = [anchors((t or "").encode("utf-8", "surrogatepass")) for t in part.column(1).to_pylist()]
+            k, first, n, offset, c1, c2 = (np.concatenate(x) for x in zip(*found, strict=True))
+            docs = np.repeat(part.column(0).to_numpy(), [len(x[0]) for x in found])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k, c1, c2, docs, first << 16 | n << 8 | offset)], ["k", "c1", "c2", "doc", "place"])
+
+
+def _contexts(places: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc, place, context): the bytes of all windows of each anchor in places (doc, place)."""
 
     def run(batches):
         for batch in batches:
-            k, hot, doc, place, context = [], [], [], [], []
-            for d, text, rows in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                data = text.encode("utf-8", "surrogatepass")
-                for x in rows:
-                    first, n = x["place"] >> 16, x["place"] >> 8 & 255
-                    k.append(x["k"])
-                    hot.append(x["hot"])
-                    doc.append(d)
-                    place.append(x["place"])
-                    context.append(data[first : first + n + LENGTH - 1])
-            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((k, hot, doc, place, context), kinds, strict=True)], ["k", "hot", "doc", "place", "context"])
-
-    joined = texts.join(grouped, "doc").select("doc", "text", "rows")
-    return joined.mapInArrow(run, "k long, hot boolean, doc long, place long, context binary")
-
-
-def _spans(docs: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
-    """Windows as spans (doc, s, e), with runs of neighbouring starts in one."""
-    order = np.lexsort((starts, docs))
-    docs, starts = docs[order], starts[order]
-    new = np.ones(len(docs), bool)
-    new[1:] = (np.diff(docs) != 0) | (np.diff(starts) != 1)
-    last = np.append(np.flatnonzero(new)[1:], len(docs)) - 1 if len(docs) else np.empty(0, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(docs[new]), pa.array(starts[new]), pa.array(starts[last] + LENGTH)], ["doc", "s", "e"])
-
-
-def _within_anchors(batches):
-    """Spans of the windows that occur earlier; the rows (k, doc, place, context) come sorted by k."""
-    held: list[tuple] = []
-
-    def flush(rows):
-        k, doc, place, context = zip(*rows, strict=True)
-        place = np.array(place, np.int64)
-        found = _doubled(list(context), np.array(k, np.int64), place & 255, place >> 8 & 255, np.array(doc, np.int64), place >> 16)
-        return _spans(*found)
+            for doc, text, rows in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+                for at in range(0, len(rows), 4096):
+                    some = rows[at : at + 4096]
+                    context = [data[p >> 16 : (p >> 16) + (p >> 8 & 255) + LENGTH - 1].tobytes() for p in some]
+                    yield pa.RecordBatch.from_arrays([pa.array([doc] * len(some), pa.int64()), pa.array(some, pa.int64()), pa.array(context, pa.binary())], ["doc", "place", "context"])
 
+    joined = texts.join(places.groupBy("doc").agg(F.collect_list("place").alias("rows")), "doc").select("doc", "text", "rows")
+    return joined.mapInArrow(run, "doc long, place long, context binary")
+
+
+def _split(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the range, least and greatest shift) of the WAYS parts of each range of shifts."""
+    step = -(-(hi - lo + 1) // WAYS)
+    parent = np.repeat(np.arange(len(lo)), WAYS)
+    begin = lo[parent] + step[parent] * np.tile(np.arange(WAYS), len(lo))
+    inside = begin <= hi[parent]
+    parent, begin = parent[inside], begin[inside]
+    return parent, begin, np.minimum(begin + step[parent] - 1, hi[parent])
+
+
+_ROWS = "k long, k2 long, c1 long, c2 long, doc long, place long, lo long, hi long"
+
+
+def _ranked(batches):
+    """The parts of the ranges lo to hi of (doc, place, context, lo, hi), where the anchor has windows, with names of core and hull."""
     for batch in batches:
-        held += zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
-        if len(held) >= ROWS_AT_ONCE:
-            cut = len(held) - 1
-            while cut and held[cut - 1][0] == held[-1][0]:
-                cut -= 1
-            if cut:
-                yield flush(held[:cut])
-                held = held[cut:]
-    if held:
-        yield flush(held)
-
-
-def _hot_windows(batches):
-    """(name, doc, start) of every window; the name is of the anchor, the window's place around it, and its bytes."""
-    for batch in batches:
-        for k, doc, place, context in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            first, n, offset = place >> 16, place >> 8 & 255, place & 255
+        for at in range(0, batch.num_rows, 4096):
+            rows = batch.slice(at, 4096)
+            doc, place, lo, hi = (rows.column(i).to_numpy() for i in (0, 1, 3, 4))
+            context = rows.column(2).to_pylist()
+            begin = np.cumsum([0, *map(len, context)])[:-1]
+            parent, lo, hi = _split(lo, hi)
+            offset = place & 255
+            greatest, least = offset, offset - (place >> 8 & 255) + 1
+            own = (lo <= greatest[parent]) & (hi >= least[parent])
+            parent, lo, hi = parent[own], lo[own], hi[own]
+            a = begin[parent] + offset[parent]
+            own_lo, own_hi = np.maximum(lo, least[parent]), np.minimum(hi, greatest[parent])
+            data = np.frombuffer(b"".join(context), np.uint8)
             with np.errstate(over="ignore"):
-                names = _mix(Names(np.frombuffer(context, np.uint8)).all(LENGTH)[:n] ^ _mix(np.uint64(k % (1 << 64)) ^ (offset - np.arange(n)).astype(np.uint64)))
-            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(np.full(n, doc)), pa.array(first + np.arange(n))], ["w", "doc", "s"])
+                both = [Names(data, x) for x in _BASES]
+                cores = [_told_apart(x.of(a - lo, a - hi + LENGTH), lo, hi).view(np.int64) for x in both]
+                hulls = [_told_apart(x.of(a - own_hi, a - own_lo + LENGTH), own_lo, own_hi).view(np.int64) for x in both]
+            columns = [*cores, *hulls, doc[parent], place[parent], lo, hi]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["k", "k2", "c1", "c2", "doc", "place", "lo", "hi"])
+
+
+def _settle(rows: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Of a round's candidates (_ROWS): spans (doc, s, e) of the repeats; (doc, place, lo, hi) of those still in doubt; their tables."""
+    first = F.min(F.struct("doc", "place")).alias("first")
+    # a hull's name tells its range, and its bytes hold the core, so equal hulls have equal cores
+    hulls, hulls_at = write_table(rows.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"), first, *(F.any_value(x).alias(x) for x in ("k", "k2", "lo", "hi"))), "hulls")
+    repeats = rows.join(hulls.where("n > 1").select("c1", "c2", "first"), ["c1", "c2"]).where(F.struct("doc", "place") != F.col("first"))
+    offset = F.col("place").bitwiseAND(F.lit(255))
+    anchor, least = F.shiftright("place", 16) + offset, offset - F.shiftright("place", 8).bitwiseAND(F.lit(255)) + 1
+    spans = repeats.select("doc", (anchor - F.least("hi", offset)).alias("s"), (anchor - F.greatest("lo", least) + LENGTH).alias("e"))
+    spans, spans_at = write_table(spans, "spans")
+    several = hulls.groupBy("k", "k2").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    live = hulls.where("lo < hi").join(several, ["k", "k2"], "left_semi").select("first.doc", "first.place", "lo", "hi")
+    live, live_at = write_table(live, "live")
+    drop_table(rows.sparkSession, hulls_at)
+    return spans, live, [spans_at, live_at]
+
+
+def _merged(batches):
+    """(doc, spans) of rows (doc, s, e), which come sorted: each document's maximal runs."""
+    now, runs = None, []
+
+    def row():
+        return pa.RecordBatch.from_pylist([{"doc": now, "spans": runs}], pa.schema([("doc", pa.int64()), ("spans", pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])))]))
+
+    for batch in batches:
+        for doc, s, e in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if doc != now:
+                if runs:
+                    yield row()
+                now, runs = doc, []
+            if runs and s <= runs[-1]["e"]:
+                runs[-1]["e"] = max(runs[-1]["e"], e)
+            else:
+                runs.append({"s": s, "e": e})
+    if runs:
+        yield row()
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
-    """(doc, spans array<struct<s, e>>) of texts (doc: unique and in order, text) that have repeated strings; spans may overlap."""
+    """(doc, spans array<struct<s, e>>): the maximal runs of repeated bytes, of texts (doc: unique and in order, text) that have any."""
     spark = texts.sparkSession
     texts = texts.select("doc", "text").where("text is not null")
-    counted = texts.mapInArrow(lambda b: _emit(b, 2), "k long, c long")
-    repeated = counted.groupBy("k").agg(F.count(F.lit(1)).alias("n"), (F.min("c") != F.max("c")).alias("mixed")).where("n > 1")
-    repeated, repeated_at = write_table(repeated.select("k", "mixed"), "grams")
-    free_shuffles(spark)
-    placed = texts.mapInArrow(lambda b: _emit(b, 4), "k long, c long, doc long, place long").join(repeated, "k")
-    anchored, anchored_at = write_table(placed, "anchors")
+    repeated = texts.mapInArrow(_grams, "k long").groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
+    repeated, repeated_at = write_table(repeated, "grams")
+    every = texts.mapInArrow(_candidates, "k long, c1 long, c2 long, doc long, place long").join(repeated, "k", "left_semi")
+    rows, rows_at = write_table(every, "anchors")
     drop_table(spark, repeated_at)
-    free_shuffles(spark)
-    spots = F.min(F.struct("doc", "place")).alias("first")
-    classes = anchored.groupBy("c").agg(F.count(F.lit(1)).alias("n"), spots, F.any_value("k").alias("k"), F.any_value("mixed").alias("mixed")).where("n > 1 or mixed")
-    classes, classes_at = write_table(classes.select("c", "n", "first.*", "k", "mixed"), "classes")
-    firsts = classes.where("n > 1").select("c", F.col("doc").alias("d"), F.col("place").alias("p"))
-    later = anchored.join(firsts, "c").where("doc <> d or place <> p")
-    start = F.shiftright("place", 16)
-    whole = later.select("doc", start.alias("s"), (start + F.shiftright("place", 8).bitwiseAND(F.lit(255)) + (LENGTH - 1)).alias("e"))
-    whole, whole_at = write_table(whole, "spans")
-    drop_table(spark, anchored_at)
-    free_shuffles(spark)
-    mixed = classes.where("mixed").select("k", "doc", "place")
-    hot_keys = mixed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("k", F.lit(True).alias("hot"))
-    hot_keys, hot_at = write_table(hot_keys, "hot")
-    marked = mixed.join(hot_keys, "k", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    grouped = marked.groupBy("doc").agg(F.collect_list(F.struct("k", "hot", "place")).alias("rows"))
-    context, context_at = write_table(_contexts(grouped, texts), "contexts")
-    drop_table(spark, classes_at, hot_at)
-    free_shuffles(spark)
-    few = context.where("not hot").select("k", "doc", "place", "context").repartition("k").sortWithinPartitions("k")
-    dense = few.mapInArrow(_within_anchors, "doc long, s long, e long")
-    windows = context.where("hot").select("k", "doc", "place", "context").mapInArrow(_hot_windows, "w long, doc long, s long")
-    earliest = windows.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "s")).alias("first")).where("n > 1").select("w", F.col("first.doc").alias("d"), F.col("first.s").alias("f"))
-    hot = windows.join(earliest, "w").where("doc <> d or s <> f").select("doc", "s", (F.col("s") + LENGTH).alias("e"))
-    every = whole.unionByName(dense).unionByName(hot)
-    merged, _ = write_table(every.groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "repeated")
-    drop_table(spark, context_at, whole_at)
-    free_shuffles(spark)
-    return merged
-
-
-def removed_runs(spans: list[dict]) -> list[tuple[int, int]]:
-    """Maximal runs of bytes that spans cover."""
-    if not spans:
-        return []
-    both = np.array([(x["s"], x["e"]) for x in spans], np.int64)
-    both = both[np.argsort(both[:, 0], kind="stable")]
-    reach = np.maximum.accumulate(both[:, 1])
-    new = np.concatenate([[True], both[1:, 0] > reach[:-1]])
-    last = np.append(np.flatnonzero(new)[1:], len(both)) - 1
-    return list(zip(both[new, 0].tolist(), reach[last].tolist(), strict=True))
+    rows = rows.select("k", F.lit(0).cast("long").alias("k2"), "c1", "c2", "doc", "place", F.lit(0).cast("long").alias("lo"), F.lit(LENGTH - GRAM).cast("long").alias("hi"))
+    found, live, tables = _settle(rows)
+    drop_table(spark, rows_at)
+    context, context_at = write_table(_contexts(live, texts), "contexts")
+    while not live.isEmpty():
+        ranked = context.join(live, ["doc", "place"]).mapInArrow(_ranked, _ROWS)
+        rows, rows_at = write_table(ranked, "ranked")
+        spans, live, more = _settle(rows)
+        found = found.unionByName(spans)
+        tables += more
+        drop_table(spark, rows_at)
+    sorted_ = found.repartition("doc").sortWithinPartitions("doc", "s")
+    runs, _ = write_table(sorted_.mapInArrow(_merged, "doc long, spans array<struct<s: long, e: long>>"), "repeated")
+    drop_table(spark, context_at, *tables)
+    return runs
 
 
 def without(data: bytes, runs: list[tuple[int, int]]) -> bytes:
@@ -290,11 +258,16 @@ def without(data: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, data[at:]])
 
 
+def _runs(spans: list[dict] | None) -> list[tuple[int, int]]:
+    return [(x["s"], x["e"]) for x in spans or ()]
+
+
 def _with_spans(docs: DataFrame, id_col: str) -> DataFrame:
-    """docs with the array `folioframe_spans` of what repeats in each text, or null."""
-    named = numbered(docs, id_col)
-    spans = repeated_spans(named.select(F.col(NUMBER).alias("doc"), "text"))
-    return named.join(spans.select(F.col("doc").alias(NUMBER), F.col("spans").alias("folioframe_spans")), NUMBER, "left")
+    """The columns of docs, and last the array of what repeats in each text, or null."""
+    named, number = numbered(docs, id_col)
+    spans = repeated_spans(named.select(F.col(number).alias("doc"), "text"))
+    own = free_name(named.columns, "folioframe_spans")
+    return named.join(spans.select(F.col("doc").alias(number), F.col("spans").alias(own)), number, "left").select(*docs.columns, own)
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -304,13 +277,13 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for batch in batches:
             rows = []
             for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                data, runs = (text or "").encode("utf-8", "surrogatepass"), removed_runs(spans)
+                data, runs = (text or "").encode("utf-8", "surrogatepass"), _runs(spans)
                 rows.append((len(data), sum(e - s for s, e in runs), len(runs), hashlib.sha256(without(data, runs)).hexdigest()))
             n, removed, spans, digest = zip(*rows, strict=True) if rows else ([], [], [], [])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     joined = _with_spans(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id")
-    return joined.select("doc_id", "text", "folioframe_spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -322,11 +295,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
         for batch in batches:
             texts = []
             for text, spans in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                runs = removed_runs(spans)
+                runs = _runs(spans)
                 texts.append(without(text.encode("utf-8", "surrogatepass"), runs).decode("utf-8", "ignore") if runs else text)
             yield batch.set_column(at, "text", pa.array(texts, pa.string())).select(names)
 
-    return _with_spans(docs, id_col).select(*names, "folioframe_spans").mapInArrow(run, docs.schema)
+    return _with_spans(docs, id_col).mapInArrow(run, docs.schema)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -201,7 +201,8 @@ def lookup(queries: DataFrame, archive: str, directory: DataFrame, whole: bool =
     """The records of queries (url, NUMBER) that the archive has; a key that it lacks is an error if it has to be whole."""
     least = directory.groupBy("part").agg(F.min("first").alias("first"))
     starts = sorted((r.first_, r.part) for r in least.withColumnRenamed("first", "first_").collect())  # a row an archive part
-    keyed = queries.select(reversed_host_key("url").alias("key"), F.col(NUMBER).alias("number")).repartitionByRange("key", "number").sortWithinPartitions("key", "number")
+    keyed = queries.select(reversed_host_key("url").alias("key"), F.col(NUMBER).alias("number"))
+    keyed = keyed.repartitionByRange(max(1, len(starts)), "key", "number").sortWithinPartitions("key", "number")  # a task an archive part
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
 
@@ -221,7 +222,7 @@ def lookup(queries: DataFrame, archive: str, directory: DataFrame, whole: bool =
 def round_trip(pages: DataFrame) -> DataFrame:
     """Every page's record, written to a new archive in the shared folder and looked up there again."""
     archive = fresh_path(pages.sparkSession, "warc")
-    own = numbered(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"), "page_id", "html")
+    own, _ = numbered(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"), "page_id", "html")
     return lookup(own, archive, write(own, archive), whole=True)
 
 

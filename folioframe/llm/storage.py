@@ -2,39 +2,61 @@
 
 from __future__ import annotations
 
-import atexit
-import gc
-import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share.
+    """The folder in spark.checkpoint.dir, else the context's checkpoint folder; driver and executors share it.
 
-    Where it is unset (tests on one machine) a temporary folder is made and set for this session.
+    Where neither is set, a session whose tasks run in this very process (tests on one machine) makes a folder of its own;
+    any other session fails, as no folder of the driver's machine is known to be shared.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="folioframe-shared-")
-        atexit.register(shutil.rmtree, named[7:], ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", named)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="folioframe-shared-"))
+        named = context.getCheckpointDir()
     return named.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/folioframe/{label}-{uuid.uuid4().hex}"
+    """A new path in the application's part of the shared folder, which is deleted when the driver ends."""
+    own = f"{shared_dir(spark)}/folioframe-{spark.sparkContext.applicationId}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(own)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+    return f"{own}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def shuffles_end_here(spark: SparkSession):
+    """Within, the shuffle files of a finished query are deleted at its end; the setting is put back after."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
 
 
 def write_table(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """df written as Parquet in the shared folder and read again: lineage ends there, and lost executors lose nothing."""
     path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with shuffles_end_here(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
@@ -45,7 +67,9 @@ def drop_table(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps now, instead of whenever the driver collects its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+def free_name(columns: list[str], base: str) -> str:
+    """base, with underscores after it until no column is called so (names differ in more than case)."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base += "_"
+    return base

@@ -54,7 +54,7 @@ def test_repeated_and_null_ids(spark):
 def test_index_finds_every_capture_and_nothing_else(spark, monkeypatch, block):
     monkeypatch.setattr(op, "BLOCK", block)
     rows = [(i, "http://%s.example.com/%d" % ("abc"[i % 3], i // 2), "t%d" % i) for i in range(40)]
-    df = numbered(spark.createDataFrame(rows, "page_id long, url string, html string"), "page_id", "html")
+    df = numbered(spark.createDataFrame(rows, "page_id long, url string, html string"), "page_id", "html")[0]
     archive = fresh_path(spark, "test")
     directory = op.write(df, archive)
     starts = sorted((min(r["first"] for r in directory.collect() if r.part == p), p) for p in {r.part for r in directory.collect()})
@@ -93,7 +93,7 @@ def test_other_line_ends_in_urls(spark, monkeypatch, block):
 
 
 def test_a_missing_capture_is_an_error(spark):
-    df = numbered(spark.createDataFrame([(1, "http://a.b/c", "x"), (2, "http://a.b/d", "y")], "page_id long, url string, html string"), "page_id", "html")
+    df = numbered(spark.createDataFrame([(1, "http://a.b/c", "x"), (2, "http://a.b/d", "y")], "page_id long, url string, html string"), "page_id", "html")[0]
     archive = fresh_path(spark, "test")
     directory = op.write(df.where("page_id = 1"), archive)
     assert op.lookup(df, archive, directory).count() == 1
