@@ -98,7 +98,7 @@ def test_sample_is_bounded(tables):
     docs, labels, _ = tables
     assert 0 < op.trusted_ids(labels, 10).count() <= 10
     small = op.train(docs, labels, max_words=300)
-    assert len(small.shards["p3"].names) <= 300
+    assert 0 < sum(len(op._unpacked_counts(r.data)[0]) for r in small.trigrams.collect()) <= 300
 
 
 def test_nothing_trusted(spark, tables):
@@ -150,3 +150,14 @@ def test_thresholds_are_of_all_held_out_rows(spark):
     assert abs(model.thresholds["xx"] - np.quantile(model.scores(texts)[1], op.QUANTILE) - op.MARGIN) < 1e-3
     one = docs.where(~held).limit(1)
     assert op.train(one, one.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))).overall is not None
+
+
+def test_passes_and_shards_change_nothing(spark, tables, monkeypatch):
+    docs, labels, _ = tables
+    want = {(r.doc_id, r.lang, r.n_words, round(r.log_perplexity, 9)) for r in op.classify(docs, op.train(docs, labels)).collect()}
+    monkeypatch.setattr(op, "PASSES", 3)
+    monkeypatch.setattr(op, "SHARD_WORDS", 20)
+    monkeypatch.setattr(op, "BLOCK", 100)
+    model = op.train(docs, labels)
+    assert model.sharding.shards > op.LEAST_SHARDS and model.sharding.salts.max() > 3
+    assert {(r.doc_id, r.lang, r.n_words, round(r.log_perplexity, 9)) for r in op.classify(docs, model).collect()} == want
