@@ -208,12 +208,10 @@ class Automaton:
         row = self.rows
         for at in range(0, len(data), STEP):
             part = data[at : at + STEP]
-            marks = np.frombuffer(bytes(map(itemgetter(256), accumulate(part, getitem, initial=row))), np.uint8)
+            rows = list(accumulate(part, getitem, initial=row))
+            marks, row = np.frombuffer(bytes(map(itemgetter(256), rows)), np.uint8), rows[-1]
             for i in np.flatnonzero(marks[1:]).tolist():
                 yield at + i, self.sets[marks[i + 1]]
-            if at + STEP < len(data):
-                for c in part:
-                    row = row[c]
 
     def longest(self, data) -> int:
         """Length of the longest match that begins with the first byte of an iterable, or -1."""

@@ -313,14 +313,13 @@ class Encoder:
 
     def stream(self, text: str):
         """The packed ids of a whole text, block by block."""
-        if len(text) <= BLOCK and all(x not in text for x in self.merges.special):
-            out: list[bytes] = []
-            self._chunks(text, out)
-            yield b"".join(out)
-            return
-        for at in range(0, len(text), BLOCK):
-            yield self.feed(text[at : at + BLOCK])
-        yield self.finish()
+        try:
+            for at in range(0, len(text), BLOCK):
+                yield self.feed(text[at : at + BLOCK])
+            yield self.finish()
+        finally:  # a text that is given up leaves nothing behind
+            self.open = None
+            self._reset()
 
     def encode(self, text: str) -> bytes:
         """The packed ids of a whole text."""

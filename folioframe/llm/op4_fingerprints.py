@@ -30,6 +30,8 @@ BINS = 1 << BIN_BITS
 CODE_BITS = 8
 ATTEMPTS = 16
 RANGES_A_PARTITION = 4
+#: A range has about as many bytes of text at most, however few shuffle partitions there are.
+RANGE_BYTES = 1 << 26
 _PRIME = (1 << 31) - 1
 _HEX = "".join("%02x" % x for x in range(256))
 
@@ -86,7 +88,8 @@ def packed(codes: str) -> Column:
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     """docs (doc_id, text, columns) with next_text and next_<column> of the next row in descending doc_id, cyclically."""
     spark = docs.sparkSession
-    ranges = RANGES_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    ranges = max(RANGES_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES)
     shares = [k / ranges for k in range(1, ranges)]
     ids = docs.select("doc_id")
     cuts = sorted(set(ids.agg(F.percentile_approx("doc_id", shares, 10 * ranges).alias("cuts")).first().cuts or []))

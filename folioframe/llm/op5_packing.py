@@ -1,8 +1,9 @@
 """Packing by power-of-two decomposition.
 
 A document's ids (and the end id) are cut into pieces of binary lengths: as many of the longest as fit, then one for
-each bit of what is left. A piece is a sequence by itself, so no sequence crosses documents and none is padded; pieces
-of equal length make a bucket, from which batches of equal tokens are drawn. Nothing is shuffled.
+each bit of what is left. A piece is a sequence by itself, so no sequence crosses documents and none is padded. Pieces
+are dealt into buckets of equal length, folders of one table, so that batches of equal tokens can be drawn from each;
+tasks write them where they cut them, nothing is shuffled.
 
 Null texts count as empty (one piece that holds the end id); repeated rows are packed each for itself; an empty table
 gives no pieces; columns besides the two that are read have no effect.
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 from folioframe.llm import bpe
 from folioframe.llm.op6_bpe import vocabulary
+from folioframe.llm.storage import fresh_path
 
 LONGEST = 1024
 END_ID = 0
@@ -36,12 +38,16 @@ class Tokenizer:
         with open(path, encoding="utf-8") as f:
             whole = json.load(f)
         letters = bpe._byte_letters()
-        ranks = {bytes(letters[c] for c in t): i for t, i in whole["model"]["vocab"].items()}
+        ids = whole["model"]["vocab"]
+        ranks = {bytes(letters[c] for c in t): i for t, i in ids.items()}
+        merged = [ids["".join(m if isinstance(m, list) else m.split(" "))] for m in whole["model"]["merges"]]
+        #: Ids serve as ranks only if they rise along the merge list; else the encoder that reads the list does all.
+        self.in_order = all(a < b for a, b in zip(merged, merged[1:], strict=False))
         special = {t["content"]: t["id"] for t in whole.get("added_tokens", [])}
         self.coder = tiktoken.Encoding("file", pat_str=bpe.WORD, mergeable_ranks={b: i for b, i in ranks.items()}, special_tokens=special)
 
     def ids(self, text: str) -> np.ndarray:
-        if len(text) > LONG_WORD and (max(map(len, text.split(" "))) > LONG_WORD or " " * LONG_WORD in text):
+        if not self.in_order or len(text) > LONG_WORD and (max(map(len, text.split(" "))) > LONG_WORD or " " * LONG_WORD in text):
             return np.frombuffer(bpe.encoder(self.path).encode(text), "<u4")
         return np.asarray(self.coder.encode(text, allowed_special="all"), "<u4")
 
@@ -91,6 +97,13 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", *made, *["ids"] * with_ids)
 
 
+def bucketed(pieces: DataFrame, path: str) -> DataFrame:
+    """pieces written below path, a folder for each bucket, and read again: a filter on bucket reads that folder only."""
+    pieces.write.partitionBy("bucket").parquet(path)
+    return pieces.sparkSession.read.schema(pieces.schema).parquet(path).select(pieces.columns)
+
+
 def op5_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, packed into sequences of at most 1024 tokens."""
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary(), with_ids=False)
+    pieces = pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary(), with_ids=False)
+    return bucketed(pieces, fresh_path(spark, "packed"))

@@ -95,3 +95,24 @@ def test_binary_lengths():
     for n in range(1, 5000, 7):
         cut = op5_packing.binary_lengths(n)
         assert sum(cut) == n and cut == sorted(cut, reverse=True) and all(x & (x - 1) == 0 for x in cut)
+
+
+def test_buckets_and_merge_order(spark, tmp_path):
+    import json
+
+    df = spark.createDataFrame([(i, "word " * i) for i in range(0, 90, 7)], "doc_id long, text string")
+    pieces = op5_packing.pack(df, PATH)
+    back = op5_packing.bucketed(pieces, f"file://{tmp_path}/packed")
+    assert sorted(map(str, back.drop("sequence_id").collect())) == sorted(map(str, pieces.drop("sequence_id").collect()))
+    lengths = {(r.bucket, r.length) for r in back.collect()}
+    assert all(length == 1 << bucket for bucket, length in lengths) and len({f.name for f in (tmp_path / "packed").glob("bucket=*")}) == len(lengths)
+    whole = json.load(open(PATH, encoding="utf-8"))
+    first, second = ("".join(m if isinstance(m, list) else m.split(" ")) for m in whole["model"]["merges"][:2])
+    ids = whole["model"]["vocab"]
+    ids[first], ids[second] = ids[second], ids[first]
+    (tmp_path / "swapped.json").write_text(json.dumps(whole), encoding="utf-8")
+    other = Tokenizer.from_file(str(tmp_path / "swapped.json"))
+    coder = op5_packing.tokenizer(str(tmp_path / "swapped.json"))
+    assert not coder.in_order
+    for text in ("the then there in on at", "an unexpected interning"):
+        assert coder.ids(text).tolist() == other.encode(text, add_special_tokens=False).ids

@@ -56,3 +56,9 @@ def test_repeated_rows_and_empty(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     check(rows, op.shard_documents(df, 3).collect(), 3)
     assert op.shard_documents(df.limit(0)).count() == 0
+
+
+def test_many_rounds_end_at_a_fixed_point(spark):
+    rows = [(i, "t%d" % (i % 3)) for i in range(240)]
+    out = op.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 12).collect()
+    check(rows, out, 12)

@@ -99,3 +99,9 @@ def test_components(spark):
     assert len(set(zip(got.values(), (want[x] for x in got), strict=True))) == len(set(want.values())) == len(set(got.values()))
     assert np.all([want[got[x]] == want[x] for x in got])
     assert components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_keep_one_keeps_a_column_that_is_called_as_its_own(spark):
+    df = spark.createDataFrame([(1, "a b c d e", 70), (2, "a b c d e", 80), (2, "z y x w v", 90)], "doc_id long, text string, folioframe_number int")
+    kept = op.keep_one(df)
+    assert kept.columns == df.columns and {r.folioframe_number for r in kept.collect()} <= {70, 80, 90}
