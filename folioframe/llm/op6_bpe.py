@@ -51,6 +51,7 @@ def digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
 
     def run(batches):
         coder = bpe.encoder(path)
+        decimal = [str(i) for i in range(max(coder.merges.token_bytes) + 1)].__getitem__
         for batch in batches:
             counts, ids, decoded = [], [], []
             for text in batch.column(1).to_pylist():
@@ -58,7 +59,7 @@ def digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
                 for packed in coder.stream(text or ""):
                     tokens = array("I", packed)
                     if tokens:
-                        of_ids.update(("," * bool(n) + ",".join(map(str, tokens))).encode())
+                        of_ids.update(("," * bool(n) + ",".join(map(decimal, tokens))).encode())
                         of_text.update(machine.feed(tokens).encode())
                         n += len(tokens)
                 of_text.update(machine.finish().encode())

@@ -62,7 +62,7 @@ MOST_WORDS = (1 << 20) - FIRST_WORD
 BLOCK = 1 << 19
 SHARD_WORDS = 1 << 19
 LEAST_SHARDS = 64
-PASSES = 4
+PASSES = 8
 MOST_SENT = 1 << 22
 _WORD = (1 << WORD_BITS) - 1
 _PAIR = (1 << 2 * WORD_BITS) - 1

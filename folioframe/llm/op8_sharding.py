@@ -7,7 +7,8 @@ swap; the others change places, rank by rank, with rows of the target shard that
 shards stay at most one apart (the law `rows`) in every round, and cut links only go down. Rounds go on, as many as it takes, until
 nothing moves or PATIENCE rounds in a row bring the rows that ask to move to no new least number. Ranks come from counts by (key, salt) and their running sums, so no shard or hub is gathered in one task.
 
-Null texts count as empty texts, equal to each other; null ids and repeated rows are rows like others; an empty table
+A hub is a name of 64 bits, the length and the checksum among what is hashed; if two texts ever had one name, their rows
+would be drawn to the same shard, and nothing else. Null texts count as empty texts, equal to each other; null ids and repeated rows are rows like others; an empty table
 gives an empty result; other columns have no effect.
 """
 
@@ -90,7 +91,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     binary = text.cast("binary")
     size = (F.octet_length(binary) + 16).cast("long")
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.crc32(binary).alias("text_crc32"), F.md5(binary).alias("hub"))
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.crc32(binary).alias("text_crc32"), F.xxhash64(binary, size, F.crc32(binary)).alias("hub"))
     nodes, nodes_at = write_table(read.withColumn("row", F.monotonically_increasing_id()), "rows")
     placed, _ = write_table(nodes.join(assign(nodes, shards), "row"), "placed")
     drop_table(docs.sparkSession, nodes_at)
