@@ -3,7 +3,8 @@
 A node is a tuple: ("row", nodes), ("atom", text), ("symbol", name), ("function", name), ("words", text),
 ("fraction", a, b), ("binomial", a, b), ("root", x, degree or None), ("scripts", base, sub or None, sup or None),
 ("accent", name, x), ("line", "over" or "under", x), ("font", name, x), ("color", name, x), ("fence", left, right, x),
-("table", environment, rows of cells), ("unknown", command). Reading is bounded by the text's length and DEPTH.
+("table", environment, rows of cells), ("brace", "over" or "under", x, note or None), ("stack", "over" or "under", x, what is
+set there), ("cancel", x), ("unknown", command). Reading is bounded by the text's length and DEPTH.
 """
 
 from __future__ import annotations
@@ -59,7 +60,7 @@ class _Latex:
             if t in "^_":
                 base = out.pop() if out else ("row", [])
                 out.append(self.scripts(base, depth))
-            elif t == "}":
+            elif t == "}" or t in ("\\limits", "\\nolimits"):
                 self.take()
             else:
                 out.append(self.one(depth + 1))
@@ -80,6 +81,8 @@ class _Latex:
 
     def argument(self, depth: int) -> tuple:
         self.blank()
+        if self.peek().isdigit():
+            return ("atom", self.take())  # a bare argument is one character
         return self.one(depth + 1) if self.peek() not in ("", "}") else ("row", [])
 
     def braced_text(self) -> str:
@@ -134,6 +137,18 @@ class _Latex:
             return ("accent", {"widehat": "hat", "widetilde": "tilde", "overrightarrow": "vec"}.get(name, name), self.argument(depth))
         if name in ("overline", "underline"):
             return ("line", name[:-4], self.argument(depth))
+        if name in ("overbrace", "underbrace"):
+            x = self.argument(depth)
+            self.blank()
+            if self.peek() != ("^" if name == "overbrace" else "_"):
+                return ("brace", name[:-5], x, None)
+            self.take()
+            return ("brace", name[:-5], x, self.argument(depth))
+        if name in ("overset", "underset", "stackrel"):
+            note, x = self.argument(depth), self.argument(depth)
+            return ("stack", "under" if name == "underset" else "over", x, note)
+        if name in ("cancel", "bcancel", "xcancel"):
+            return ("cancel", self.argument(depth))
         if name in _FONTS:
             return ("font", {"bm": "boldsymbol", "mathscr": "mathcal"}.get(name, name), self.argument(depth))
         if name in ("text", "textrm", "textbf", "textit", "mbox", "operatorname"):
@@ -225,6 +240,12 @@ def to_latex(n: tuple) -> str:
         return "\\" + n[1] + _group(n[2])
     if kind == "line":
         return "\\" + n[1] + "line" + _group(n[2])
+    if kind == "brace":
+        return "\\" + n[1] + "brace" + _group(n[2]) + (("^" if n[1] == "over" else "_") + _group(n[3]) if n[3] is not None else "")
+    if kind == "stack":
+        return "\\" + n[1] + "set" + _group(n[3]) + _group(n[2])
+    if kind == "cancel":
+        return "\\cancel" + _group(n[1])
     if kind == "color":
         return "\\textcolor{" + n[1] + "}" + _group(n[2])
     if kind == "fence":
@@ -266,6 +287,12 @@ def to_typst(n: tuple) -> str:
         return f"{_TYPST_ACCENT[n[1]] if n[1] != 'hat' else 'hat'} {to_typst(n[2])}"
     if kind == "line":
         return f"{n[1]}line({to_typst(n[2])})"
+    if kind == "brace":
+        return f"{n[1]}brace({to_typst(n[2])}{', ' + to_typst(n[3]) if n[3] is not None else ''})"
+    if kind == "stack":
+        return f"{n[1]}set({to_typst(n[3])}, {to_typst(n[2])})"
+    if kind == "cancel":
+        return f"cancel({to_typst(n[1])})"
     if kind == "font":
         return f"{_TYPST_FONT[n[1]]}({to_typst(n[2])})"
     if kind == "color":
@@ -284,6 +311,10 @@ _FROM_ACCENT = {t: n for n, _, t in s.ACCENTS} | {"arrow": "vec", "macron": "bar
 _FROM_FONT = {t: n for n, _, _, t in s.FONTS if n != "boldsymbol"} | {"serif": "mathrm"}
 
 
+#: The doubled capitals that stand for sets of numbers.
+_DOUBLED = ("NN", "ZZ", "QQ", "RR", "CC")
+
+
 class _Typst:
     def __init__(self, text: str):
         self.t = [x for x in _TYPST_TOKEN.findall(text) if not x.isspace()]
@@ -383,6 +414,16 @@ class _Typst:
             return ("accent", _FROM_ACCENT[t], self.argument(depth))
         if t in ("overline", "underline") and called:
             return ("line", t[:-4], self.argument(depth))
+        if t in ("overbrace", "underbrace") and called:
+            x, note, *_ = [*self.call(depth)[0], None, None]
+            return ("brace", t[:-5], x or ("row", []), note)
+        if t in ("overset", "underset") and called:
+            note, x, *_ = [*self.call(depth)[0], ("row", []), ("row", [])]
+            return ("stack", t[:-3], x, note)
+        if t == "cancel" and called:
+            return ("cancel", self.argument(depth))
+        if t in _DOUBLED:
+            return ("font", "mathbb", ("atom", t[0]))
         if t in _FROM_FONT and called:
             return ("font", _FROM_FONT[t], self.argument(depth))
         if t in s.FROM_TYPST:
@@ -423,6 +464,9 @@ def _local(e: ET.Element) -> str:
     return e.tag.rsplit("}", 1)[-1]
 
 
+#: The braces that stretch above and below, and the names of characters that MathML is often written with.
+_BRACES = {"over": "⏞", "under": "⏟"}
+_ENTITIES = {"nbsp": " ", "minus": "−", "times": "×", "sdot": "⋅", "middot": "·", "plusmn": "±", "le": "≤", "ge": "≥", "ne": "≠", "infin": "∞", "part": "∂", "sum": "∑", "prod": "∏", "int": "∫", "radic": "√", "rarr": "→", "larr": "←", "isin": "∈", "alpha": "α", "beta": "β", "gamma": "γ", "delta": "δ", "pi": "π", "theta": "θ", "lambda": "λ", "mu": "μ", "sigma": "σ", "omega": "ω", "ApplyFunction": "", "InvisibleTimes": ""}
 _FONT_VARIANT = {n: v for n, v, _, _ in s.FONTS}
 _VARIANT_FONT = {v: n for n, v in reversed(_FONT_VARIANT.items())}
 
@@ -460,6 +504,13 @@ def _mml(n: tuple, p: str) -> str:
         return tag("mover", m(n[2]), tag("mo", _escape(_ACCENTS[n[1]])), attributes=' accent="true"')
     if kind == "line":
         return tag("m" + n[1], m(n[2]), tag("mo", "‾" if n[1] == "over" else "_"))
+    if kind == "brace":
+        braced = tag("m" + n[1], m(n[2]), tag("mo", _BRACES[n[1]], attributes=' stretchy="true"'))
+        return braced if n[3] is None else tag("m" + n[1], braced, m(n[3]))
+    if kind == "stack":
+        return tag("m" + n[1], m(n[2]), m(n[3]), attributes=' class="stack"')
+    if kind == "cancel":
+        return tag("menclose", m(n[1]), attributes=' notation="updiagonalstrike"')
     if kind == "font":
         return tag("mstyle", m(n[2]), attributes=f' mathvariant="{_FONT_VARIANT[n[1]]}"')
     if kind == "color":
@@ -508,7 +559,36 @@ def _from_mml(e: ET.Element, depth: int = 0) -> tuple:
         return ("root", row([go(x) for x in kids]), None)
     if name == "mroot":
         return ("root", pick(0), pick(1))
-    if name in ("msup", "msub", "msubsup", "munder", "munderover", "mover", "mmultiscripts"):
+    if name == "mmultiscripts":
+        split = next((i for i, x in enumerate(kids) if _local(x) == "mprescripts"), len(kids))
+        script = lambda i: None if i >= len(kids) or _local(kids[i]) in ("none", "mprescripts") else go(kids[i])
+        base = pick(0)
+        for i in range(1, split - 1, 2):
+            base = ("scripts", base, script(i), script(i + 1))
+        before = [("scripts", ("row", []), script(i), script(i + 1)) for i in range(split + 1, len(kids) - 1, 2)]
+        return row([*before, base])
+    if name == "mfenced":
+        left, right, marks = e.get("open", "("), e.get("close", ")"), e.get("separators", ",").strip()
+        inner = []
+        for i, x in enumerate(kids):
+            inner += [("atom", marks[min(i, len(marks)) - 1])] * bool(i and marks) + [go(x)]
+        return ("fence", left, right, row(inner))
+    if name == "menclose":
+        x, how = row([go(k) for k in kids]), e.get("notation", "longdiv")
+        if "radical" in how:
+            return ("root", x, None)
+        if "strike" in how:
+            return ("cancel", x)
+        return ("line", "over", x) if "top" in how else ("line", "under", x) if "bottom" in how else x
+    if name in ("msup", "msub", "msubsup", "munder", "munderover", "mover"):
+        if name in ("mover", "munder") and len(kids) > 1 and "".join(kids[1].itertext()).strip() == _BRACES[name[1:]]:
+            return ("brace", name[1:], pick(0), None)
+        if name in ("mover", "munder") and len(kids) > 1:
+            x = pick(0)
+            if x[0] == "brace" and x[1] == name[1:] and x[3] is None:
+                return ("brace", x[1], x[2], pick(1))
+            if e.get("class") == "stack":
+                return ("stack", name[1:], x, pick(1))
         if name in ("mover", "munder") and len(kids) > 1:
             mark = "".join(kids[1].itertext()).strip()
             if mark in ("‾", "_") and _local(kids[1]) == "mo":
@@ -516,8 +596,8 @@ def _from_mml(e: ET.Element, depth: int = 0) -> tuple:
             accent = next((n for n, c, _ in s.ACCENTS if c == mark), None)
             if name == "mover" and accent and (e.get("accent") == "true" or mark != "→"):
                 return ("accent", accent, pick(0))
-        sub = pick(1) if name in ("msub", "msubsup", "munder", "munderover", "mmultiscripts") else None
-        sup = pick(2) if name in ("msubsup", "munderover", "mmultiscripts") else pick(1) if name in ("msup", "mover") else None
+        sub = pick(1) if name in ("msub", "msubsup", "munder", "munderover") else None
+        sup = pick(2) if name in ("msubsup", "munderover") else pick(1) if name in ("msup", "mover") else None
         return ("scripts", pick(0), sub, sup)
     if name == "mtable":
         return ("table", "matrix", [[row([go(x) for x in cell if isinstance(x.tag, str)]) for cell in r if isinstance(cell.tag, str)] for r in kids])
@@ -544,6 +624,7 @@ def from_mathml(text: str) -> tuple:
     bare = re.sub(r"(</?)(mml|m):", r"\1", text) if "xmlns:" not in text else text
     if not bare.strip():
         raise FormulaError("empty")
+    bare = re.sub(r"&([A-Za-z]+);", lambda m: _ENTITIES.get(m[1], m[0]), bare)
     return _from_mml(_read_xml(bare))
 
 
@@ -586,6 +667,17 @@ def _omml(n: tuple, properties: str = "") -> str:
         return f'<m:acc><m:accPr><m:chr m:val="{_escape(_ACCENTS[n[1]])}"/></m:accPr>{e("e", n[2])}</m:acc>'
     if kind == "line":
         return f'<m:bar><m:barPr><m:pos m:val="{"top" if n[1] == "over" else "bot"}"/></m:barPr>{e("e", n[2])}</m:bar>'
+    if kind == "brace":
+        place = "top" if n[1] == "over" else "bot"
+        if n[3] is None:
+            return f'<m:groupChr><m:groupChrPr><m:chr m:val="{_BRACES[n[1]]}"/><m:pos m:val="{place}"/></m:groupChrPr>{e("e", n[2])}</m:groupChr>'
+        limit = "limUpp" if n[1] == "over" else "limLow"
+        return f'<m:{limit}><m:e><m:bar><m:barPr><m:pos m:val="{place}"/></m:barPr>{e("e", n[2])}</m:bar></m:e>{e("lim", n[3])}</m:{limit}>'
+    if kind == "stack":
+        limit = "limUpp" if n[1] == "over" else "limLow"
+        return f"<m:{limit}>{e('e', n[2])}{e('lim', n[3])}</m:{limit}>"
+    if kind == "cancel":
+        return f'<m:borderBox><m:borderBoxPr><m:hideTop m:val="1"/><m:hideBot m:val="1"/><m:hideLeft m:val="1"/><m:hideRight m:val="1"/><m:strikeBLTR m:val="1"/></m:borderBoxPr>{e("e", n[1])}</m:borderBox>'
     if kind == "font":
         style = _SCRIPT[n[1]]
         return _omml(n[2], f'<m:rPr><m:{"sty" if len(style) < 3 else "scr"} m:val="{style}"/></m:rPr>')
@@ -652,6 +744,18 @@ def _from_omml(e: ET.Element, depth: int = 0) -> tuple:
         return ("fence", left, right, x)
     if name == "bar":
         return ("line", "over" if _value(e, "barPr/pos", "bot") == "top" else "under", part("e"))
+    if name == "groupChr":
+        side = "over" if _value(e, "groupChrPr/pos", "bot") == "top" else "under"
+        return ("brace", side, part("e"), None)
+    if name in ("limUpp", "limLow"):
+        side, x = "over" if name == "limUpp" else "under", part("e")
+        if x[0] == "line" or x[0] == "brace" and x[3] is None:
+            return ("brace", side, x[2], part("lim"))
+        return ("scripts", x, part("lim"), None) if side == "under" and x[0] == "function" else ("stack", side, x, part("lim"))
+    if name == "sPre":
+        return row([("scripts", ("row", []), part("sub"), part("sup")), part("e")])
+    if name == "borderBox" and _value(e, "borderBoxPr/strikeBLTR", "0") in ("1", "on", "true"):
+        return ("cancel", part("e"))
     if name == "acc":
         mark = _value(e, "accPr/chr", "^")
         return ("accent", next((n for n, c, _ in s.ACCENTS if c == mark), "hat"), part("e"))
