@@ -33,6 +33,18 @@ class Block:
             return list(self.items)
         return [self.text] if self.kind in ("heading", "paragraph") else []
 
+    def lines(self) -> str:
+        """Its text as a row has it: a line an item, a row of cells with tabs between, or a block of a quote."""
+        one = lambda x: " ".join(x.split())
+        if self.kind == "list":
+            return "\n".join(map(one, self.items))
+        if self.kind == "table":
+            return "\n".join("\t".join(map(one, r)) for r in self.rows)
+        if self.kind == "quote":
+            said = [x for b in self.blocks for x in (b.lines() if b.kind != "formula" else f"$${b.text}$$").split("\n")]
+            return "\n".join([*said, *([f"— {self.attribution}"] if self.attribution else [])])
+        return self.text
+
     def collected(self) -> str:
         """Its text, a line a heading, paragraph, formula, item or code block; tables and figures have none."""
         if self.kind == "horizontal_rule":
@@ -81,14 +93,13 @@ class Document:
         return Document(data.get("metadata", {}), [Page(p.get("width", 0.0), p.get("height", 0.0), p.get("number"), [block(b) for b in p.get("blocks", [])]) for p in data.get("pages", [])])
 
     def rows(self) -> list[tuple]:
-        """(page_idx, ord, kind, level, text) of its top-level blocks, as operators take them."""
-        shown = lambda b: "\n".join(b.items) if b.kind == "list" else " ".join(b.inlines()) if b.kind in ("quote", "table") else b.text
-        return [(i, j, b.kind, b.level, shown(b)) for i, p in enumerate(self.pages) for j, b in enumerate(p.blocks)]
+        """(page_idx, ord, kind, level, text, language, ordered) of its top-level blocks, as operators take them."""
+        return [(i, j, b.kind, b.level, b.lines(), b.language, b.ordered) for i, p in enumerate(self.pages) for j, b in enumerate(p.blocks)]
 
 
 def frame(spark: SparkSession, documents: dict[int, Document]) -> DataFrame:
     """The block table of documents by id."""
-    return spark.createDataFrame([(k, *r) for k, d in documents.items() for r in d.rows()], "doc_id long, page_idx int, ord int, kind string, level int, text string")
+    return spark.createDataFrame([(k, *r) for k, d in documents.items() for r in d.rows()], "doc_id long, page_idx int, ord int, kind string, level int, text string, language string, ordered boolean")
 
 
 class Builder:

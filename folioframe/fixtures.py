@@ -46,7 +46,8 @@ SELECT item_id * 10 + k AS id, concat(s, ' ', text) AS text FROM {benchmark} b C
 """
 BLOCKS = """
 SELECT doc_id, CAST(0 AS INTEGER) AS page_idx, CAST(k AS INTEGER) AS ord, CASE k % 9 WHEN 0 THEN 'heading' WHEN 1 THEN 'paragraph' WHEN 2 THEN 'formula' WHEN 3 THEN 'list' WHEN 4 THEN 'quote' WHEN 5 THEN 'code' WHEN 6 THEN 'table' WHEN 7 THEN 'figure' ELSE 'horizontal_rule' END AS kind,
-       CAST(1 + k % 6 AS INTEGER) AS level, line AS text FROM {lines} l
+       CAST(1 + k % 6 AS INTEGER) AS level, CASE k % 9 WHEN 3 THEN replace(line, '. ', concat('.', chr(10))) WHEN 4 THEN replace(line, ', ', chr(10)) WHEN 6 THEN replace(replace(line, ', ', chr(10)), ' ', chr(9)) ELSE line END AS text,
+       CASE WHEN k % 18 = 5 THEN 'sql' END AS language, k % 2 = 1 AS ordered FROM {lines} l
 """
 NODES = """
 SELECT * FROM (SELECT 'linear' AS pipeline, 'load' AS name, '' AS dep UNION ALL SELECT 'linear', 'scan', 'load' UNION ALL SELECT 'linear', 'emit', 'scan'

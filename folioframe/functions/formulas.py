@@ -795,6 +795,32 @@ WRITERS = {
 }
 
 
+WRITERS["typst_bare"] = lambda n, d: to_typst(n) if d else f"${to_typst(n)}$"
+
+
+def try_convert(latex: str, target: str, display: bool = True) -> str:
+    """A LaTeX formula in another format, or as it is where it cannot be read."""
+    try:
+        return WRITERS[target](from_latex(latex), display)
+    except (FormulaError, RecursionError):
+        return latex
+
+
+def markup(text: str, target: str, display: bool | None) -> str:
+    """A formula, or words where display is None, as a part of a document in mathml_<style> or omml."""
+    if target == "omml":
+        return _run(text, "<m:rPr><m:nor/></m:rPr>") if display is None else try_convert(text, "omml", display)
+    p = {"mathml_mml": "mml:", "mathml_m": "m:"}.get(target, "")
+    if display is None:
+        return f"<{p}mtext>{_escape(text)}</{p}mtext>"
+    try:
+        inner = _mml(from_latex(text), p)
+    except (FormulaError, RecursionError):
+        inner = f"<{p}mtext>{_escape(text)}</{p}mtext>"
+    how = "display" if display else "inline"
+    return f"<{how}math>\n{inner}\n</{how}math>"
+
+
 def convert(text: str, source: str, target: str, display: bool = True) -> str:
     return WRITERS[target](READERS[source](text), display)
 

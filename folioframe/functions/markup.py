@@ -78,8 +78,11 @@ def drop_unbalanced_delimiters(text: Column) -> Column:
 
 
 def space_alignment(text: Column) -> Column:
-    r"""Unescaped & outside environments become \quad; inside one they are what they should be."""
-    return F.when(text.contains("\\begin{"), text).otherwise(F.regexp_replace(text, r"(?<!\\)&", r"\\quad "))
+    r"""Unescaped & (an even run of backslashes before it) outside environments become \quad; inside they stay."""
+    spaced = lambda t: F.regexp_replace(t, r"(?<!\\)((?:\\\\)*)&", r"$1\\quad ")
+    inside = r"(?s)^(.*?)(\\begin\{.*\\end\{[^}]*\}|\\begin\{.*)(.*)$"
+    part = lambda i: F.regexp_extract(text, inside, i)
+    return F.when(text.contains("\\begin{"), F.concat(spaced(part(1)), part(2), spaced(part(3)))).otherwise(spaced(text))
 
 
 def split_double_scripts(text: Column) -> Column:

@@ -73,3 +73,17 @@ def from_latex_document(text: str) -> list[tuple[str, int, str, bool]]:
         elif content.strip():
             out.append(("paragraph", 0, content.strip(), False))
     return out
+
+
+def inlines(text: str) -> list[tuple[str, bool | None]]:
+    """Words (None) and formulas (displayed or not) of a paragraph, in order; blank words are left out."""
+    out, done = [], 0
+    for m in _MATH.finditer(text):
+        out += [(text[done : m.start()], None), (m[1] or m[2], m[1] is not None)]
+        done = m.end()
+    return [x for x in [*out, (text[done:], None)] if x[0].strip()]
+
+
+def with_inlines(text: str, change) -> str:
+    """A paragraph with change(formula, displayed) in place of each formula and its dollar signs."""
+    return _MATH.sub(lambda m: change(m[1] or m[2], m[1] is not None), text)

@@ -142,3 +142,16 @@ def expand(points: DataFrame, distance: float = 4.0) -> DataFrame:
 def unclip_distance(measured: DataFrame, ratio: float = 1.6) -> DataFrame:
     """How far a text region grows: area x ratio / perimeter; 0 without a perimeter."""
     return measured.withColumn("distance", F.when(F.col("perimeter") > 0, F.col("area") * ratio / F.col("perimeter")).otherwise(0.0))
+
+
+def back_project(boxes: DataFrame, scale_x: float, scale_y: float, width: int, height: int) -> DataFrame:
+    """Boxes of a scaled map on the image it shows: divided by the scales, cut to the image, those under a pixel left out."""
+    x0, y0 = F.greatest(F.col("x") / scale_x, F.lit(0.0)), F.greatest(F.col("y") / scale_y, F.lit(0.0))
+    x1 = F.least((F.col("x") + F.col("w")) / scale_x, F.lit(float(width)))
+    y1 = F.least((F.col("y") + F.col("h")) / scale_y, F.lit(float(height)))
+    return boxes.withColumns({"x": x0, "y": y0, "w": x1 - x0, "h": y1 - y0}).where((F.col("w") >= 1) & (F.col("h") >= 1))
+
+
+def sure_regions(regions: DataFrame, least: float = 0.5) -> DataFrame:
+    """Regions whose mean probability is high enough."""
+    return regions.where(F.col("score") >= least)

@@ -14,7 +14,7 @@ from pyspark.sql.functions import udtf
 
 from folioframe.functions import formulas, prose, symbols
 
-FORMATS = tuple(formulas.WRITERS)
+FORMATS = tuple(x for x in formulas.WRITERS if x != "typst_bare")
 
 
 def convert_formulas(df: DataFrame, text: str, source: str = "latex", targets: tuple[str, ...] = FORMATS, display: bool = True) -> DataFrame:

@@ -7,7 +7,9 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Channels of each pixel format.
 CHANNELS = {"gray": 1, "rgb": 3, "rgba": 4, "bgr": 3, "bgra": 4}
@@ -37,10 +39,10 @@ def resize_to_fit(a: np.ndarray, most: int) -> np.ndarray:
 
 
 def letterbox(a: np.ndarray, side: int, fill: int = FILL) -> tuple[np.ndarray, float, int, int]:
-    """(square image, scale, pad_x, pad_y): scaled down if need be, centred on a filled square."""
+    """(square image, scale, pad_x, pad_y): scaled down if need be, sides rounded, centred on a filled square."""
     h, w = a.shape[:2]
     scale = min(side / w, side / h, 1.0)
-    nw, nh = max(1, int(w * scale)), max(1, int(h * scale))
+    nw, nh = max(1, int(w * scale + 0.5)), max(1, int(h * scale + 0.5))
     out = np.full((side, side, a.shape[2]), fill, np.uint8)
     x, y = (side - nw) // 2, (side - nh) // 2
     out[y : y + nh, x : x + nw] = resize(a, nw, nh)
@@ -54,6 +56,31 @@ def normalize(a: np.ndarray, mean: list[float], std: list[float]) -> np.ndarray:
     return ((x - np.array(mean[:n], np.float32)) / np.array(std[:n], np.float32)).transpose(2, 0, 1)
 
 
+def normalized(images: DataFrame, mean: list[float], std: list[float]) -> DataFrame:
+    """images with `values`, array<float>, of normalize(): channel after channel, row after row."""
+    fields = T.StructType([*images.schema.fields, T.StructField("values", T.ArrayType(T.FloatType()))])
+    at = {c: images.columns.index(c) for c in ("width", "height", "format", "pixels")}
+
+    def run(batches):
+        for batch in batches:
+            columns = {c: batch.column(i).to_pylist() for c, i in at.items()}
+            made = [normalize(array(w, h, k, p), mean, std).ravel() for w, h, k, p in zip(columns["width"], columns["height"], columns["format"], columns["pixels"], strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.list_(pa.float32()))], [*batch.schema.names, "values"])
+
+    return images.mapInArrow(run, fields)
+
+
+def row_bytes(width: Column, format: Column) -> Column:
+    """Bytes of a row of pixels."""
+    known = F.create_map(*[F.lit(x) for pair in CHANNELS.items() for x in pair])
+    return width * F.try_element_at(known, format)
+
+
+def pixel_at(pixels: str, x: int, y: int, width: int, channels: int = 1) -> Column:
+    """The first channel of the pixel in column x and row y, 0 to 255; null outside."""
+    return F.conv(F.hex(F.substring(pixels, (y * width + x) * channels + 1, 1)), 16, 10).cast("long")
+
+
 def crop(a: np.ndarray, x: float, y: float, w: float, h: float) -> np.ndarray:
     """The rounded rectangle within the image; one black pixel if nothing is left."""
     left, top, width, height = (int(np.floor(v + 0.5)) for v in (x, y, w, h))

@@ -52,10 +52,11 @@ def argmax_orientation(scores: str):
 
 
 def mock_recognition(boxes: DataFrame, formulas: DataFrame) -> DataFrame:
-    """Boxes with the formula whose number is theirs modulo the number of formulas: detections zipped with results."""
-    n = formulas.agg(F.max("formula_id").alias("n"))
-    matched = boxes.withColumn("one", F.lit(1)).join(F.broadcast(n.withColumn("one", F.lit(1))), "one").withColumn("formula_id", F.pmod("image_id", "n") + 1)
-    return matched.join(formulas, "formula_id").select("image_id", "box_id", "x", "y", "w", "h", "confidence", "class_name", "latex", (F.col("class_name") == "isolated").alias("display"))
+    """boxes with latex and display: an image's detections, by box_id, zipped with results, which begin at its number and wrap around."""
+    n = formulas.agg(F.max("formula_id").alias("n")).withColumn("one", F.lit(1))
+    place = F.row_number().over(Window.partitionBy("image_id").orderBy("box_id"))
+    matched = boxes.withColumn("one", F.lit(1)).withColumn("nth", place).join(F.broadcast(n), "one").withColumn("formula_id", F.pmod(F.col("image_id") + F.col("nth"), "n") + 1)
+    return matched.join(formulas, "formula_id").select(*[matched[c] for c in boxes.columns], "latex", (F.col("class_name") == "isolated").alias("display"))
 
 
 def merge_regions(formulas: DataFrame, texts: DataFrame) -> DataFrame:

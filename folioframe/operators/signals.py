@@ -46,16 +46,17 @@ def ctc(step: DataFrame, keys: dict[int, str], blank: int = 0, offset: int = 0)
 
 
 def detokenize(tokens: DataFrame, vocabulary: DataFrame, eos: int = EOS) -> DataFrame:
-    """Text of (seq_id, pos, id) up to the first end token; special tokens are skipped, prefix marks become spaces.
+    """Text of (seq_id, pos, id) up to the first end token; special tokens are skipped, prefix marks become spaces. Every sequence has a row.
 
     The vocabulary (id, token) is a model's own list, of bounded size, and is broadcast.
     """
     ended = F.max((F.col("id") == eos).cast("int")).over(Window.partitionBy("seq_id").orderBy("pos"))
-    open_ = tokens.withColumn("ended", ended).where("ended = 0").join(F.broadcast(vocabulary), "id").where(~F.col("token").isin(*SKIPPED))
+    open_ = tokens.withColumn("ended", ended).join(F.broadcast(vocabulary), "id", "left")
+    said = (F.col("ended") == 0) & ~F.col("token").isin(*SKIPPED)
     shown = F.col("token")
     for mark in PREFIX_MARKS:
         shown = F.replace(shown, F.lit(mark), F.lit(" "))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", shown.alias("s")))), lambda x: x.s), "")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(said, F.struct("pos", shown.alias("s"))))), lambda x: x.s), "")
     return open_.groupBy("seq_id").agg(text.alias("text"))
 
 

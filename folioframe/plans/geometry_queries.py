@@ -80,7 +80,7 @@ _TOKENS = "SELECT seq_id, t AS pos, CAST((floor(abs(x) * 1000) + v) AS BIGINT) %
 _DETOK = """
 WITH v AS (SELECT * FROM (VALUES (0, '<s>'), (1, '<pad>'), (2, '</s>'), (3, 'Ġthe'), (4, 'frac'), (5, '{{'), (6, 'Ġx'), (7, '}}')) q(id, token)),
 t AS (TOKENS), e AS (SELECT *, max(CASE WHEN id = 2 THEN 1 ELSE 0 END) OVER (PARTITION BY seq_id ORDER BY pos) AS ended FROM t)
-SELECT seq_id, string_agg(replace(token, 'Ġ', ' '), '' ORDER BY pos) AS text FROM e JOIN v USING (id) WHERE ended = 0 AND id > 2 GROUP BY seq_id""".replace("{{", "{").replace("}}", "}")
+SELECT seq_id, coalesce(string_agg(replace(token, 'Ġ', ' '), '' ORDER BY pos) FILTER (WHERE ended = 0 AND id > 2), '') AS text FROM e LEFT JOIN v USING (id) GROUP BY seq_id""".replace("{{", "{").replace("}}", "}")
 
 
 def _tokens(spark, sf):
@@ -156,6 +156,14 @@ QUERIES = {
     ),
     "tok_decode": (_tokens, _DETOK.replace("TOKENS", _TOKENS)),
     "rec_width": (_dims, _DIMS),
+    "tdet_back_project": (
+        lambda sp, sf: _rounded(b.back_project(view(sp, sf, "v_boxes"), 0.5, 0.8, 300, 100), "x", "y", "w", "h").select("image_id", "box_id", "x", "y", "w", "h"),
+        "SELECT image_id, box_id, round(a, 6) AS x, round(b, 6) AS y, round(c - a, 6) AS w, round(d - b, 6) AS h FROM (SELECT image_id, box_id, greatest(x / 0.5, 0) AS a, greatest(y / 0.8, 0) AS b, least((x + w) / 0.5, 300) AS c, least((y + h) / 0.8, 100) AS d FROM {v_boxes} q) z WHERE c - a >= 1 AND d - b >= 1",
+    ),
+    "tdet_score_filter": (
+        lambda sp, sf: b.sure_regions(s.mean_inside(view(sp, sf, "v_logits").withColumn("x", g.sigmoid(F.col("x"))), 1, 2, 6, 5)).select("seq_id"),
+        "SELECT seq_id FROM {v_logits} z GROUP BY seq_id HAVING coalesce(avg(1 / (1 + exp(-x))) FILTER (WHERE v >= 1 AND v < 6 AND t >= 2 AND t < 5), 0.0) >= 0.5",
+    ),
     "tdet_binarize": (
         lambda sp, sf: view(sp, sf, "v_logits").select("seq_id", "t", "v", (g.sigmoid(F.col("x")) > 0.5).alias("on")),
         "SELECT seq_id, t, v, 1 / (1 + exp(-x)) > 0.5 AS on FROM {v_logits} z",

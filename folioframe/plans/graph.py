@@ -122,11 +122,20 @@ def missing_dependencies(edges: DataFrame) -> DataFrame:
 
 
 def cyclic_pipelines(edges: DataFrame) -> DataFrame:
-    """(pipeline): those in which some node comes to itself, by a recursive query."""
-    return edges.sparkSession.sql(
-        "WITH RECURSIVE reach(pipeline, a, b, n) AS (SELECT pipeline, name, dep, 1 FROM {edges} WHERE dep <> '' UNION ALL SELECT r.pipeline, r.a, e.dep, r.n + 1 FROM reach r JOIN {edges} e ON e.pipeline = r.pipeline AND e.name = r.b WHERE e.dep <> '' AND r.n < 20 AND r.a <> r.b) SELECT DISTINCT pipeline FROM reach WHERE a = b",
-        edges=edges,
-    )
+    """(pipeline): those in which some node comes to itself, however long the way. One Arrow group a manifest."""
+
+    def run(frame):
+        import pandas as pd
+
+        needs: dict[str, set] = {}
+        for r in frame.itertuples():
+            needs.setdefault(r.name, set()).update([r.dep] if r.dep else [])
+        while gone := [n for n, d in needs.items() if not d & needs.keys()]:
+            for n in gone:
+                del needs[n]
+        return pd.DataFrame([(frame.pipeline.iloc[0],)] * bool(needs), columns=["pipeline"])
+
+    return edges.groupBy("pipeline").applyInPandas(run, "pipeline string")
 
 
 def orders(edges: DataFrame) -> DataFrame:

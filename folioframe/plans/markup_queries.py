@@ -31,14 +31,23 @@ _FLAGS = f"list_filter([CASE WHEN {_at(_DUP, 'trim(latex)')} THEN 'duplicate_rel
 _F = "FROM {v_formulas} f"
 
 
-def _md_sql() -> str:
-    return """CASE kind WHEN 'heading' THEN repeat('#', level) || ' ' || text WHEN 'paragraph' THEN text WHEN 'formula' THEN '$$' || text || '$$' WHEN 'list' THEN '- ' || text WHEN 'quote' THEN '> ' || text
-    WHEN 'code' THEN '```' || chr(10) || text || chr(10) || '```' WHEN 'table' THEN '| ' || array_to_string(c, ' | ') || ' |' || chr(10) || '|' || repeat(' --- |', len(c)) WHEN 'figure' THEN '![' || text || ']()' ELSE '---' END"""
+_NL = "chr(10)"
+_LINES = "string_split(text, chr(10))"
+_B = f"(SELECT *, {_LINES} AS ls, list_transform({_LINES}, lambda r: string_split(r, chr(9))) AS rs, list_max(list_transform({_LINES}, lambda r: len(string_split(r, chr(9))))) AS wide, CASE WHEN ordered THEN 'enumerate' ELSE 'itemize' END AS env FROM {{v_blocks}} b)"
+_X = "replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+_XL = f"string_split({_X}, chr(10))"
+_XR = f"list_transform({_XL}, lambda r: string_split(r, chr(9)))"
+_FENCE = f"'```' || coalesce(language, '') || {_NL} || text || {_NL} || '```'"
 
 
-_B = "(SELECT *, regexp_split_to_array(trim(text), ' +') AS c FROM {v_blocks} b)"
-_X = "replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
-_XC = _X.replace("text", "trim(text)")
+def _each(lines: str, before: str, after: str = "", between: str = _NL) -> str:
+    return f"array_to_string(list_transform({lines}, lambda z: '{before}' || z || '{after}'), {between})"
+
+
+_MARKDOWN = f"""CASE kind WHEN 'heading' THEN repeat('#', level) || ' ' || text WHEN 'paragraph' THEN text WHEN 'formula' THEN '$$' || text || '$$'
+ WHEN 'list' THEN CASE WHEN ordered THEN array_to_string(list_transform(ls, lambda z, i: i || '. ' || z), {_NL}) ELSE {_each('ls', '- ')} END WHEN 'quote' THEN {_each('ls', '> ')} WHEN 'code' THEN {_FENCE}
+ WHEN 'table' THEN '| ' || array_to_string(rs[1], ' | ') || ' |' || {_NL} || '|' || repeat(' --- |', wide) || CASE WHEN len(rs) > 1 THEN {_NL} || array_to_string(list_transform(rs[2:], lambda r: '| ' || array_to_string(r, ' | ') || ' |'), {_NL}) ELSE '' END
+ WHEN 'figure' THEN '![' || text || ']()' ELSE '---' END"""
 
 
 def _printed(case: str, between: str = "chr(10) || chr(10)", head: str = "''", foot: str = "''") -> str:
@@ -47,15 +56,34 @@ def _printed(case: str, between: str = "chr(10) || chr(10)", head: str = "''", f
 
 def _latex_case(a: str, z: str) -> str:
     return f"""CASE kind WHEN 'heading' THEN '\\' || (['section', 'subsection', 'subsubsection', 'paragraph', 'subparagraph', 'section'])[level] || '{{' || text || '}}' WHEN 'paragraph' THEN text WHEN 'formula' THEN {a} || text || {z}
-    WHEN 'list' THEN '\\begin{{itemize}}' || chr(10) || '\\item ' || text || chr(10) || '\\end{{itemize}}' WHEN 'quote' THEN '\\begin{{quote}}' || chr(10) || text || chr(10) || '\\end{{quote}}' WHEN 'code' THEN '\\begin{{verbatim}}' || chr(10) || text || chr(10) || '\\end{{verbatim}}'
-    WHEN 'table' THEN '\\begin{{tabular}}{{|' || repeat('c|', len(c)) || '}}' || chr(10) || array_to_string(c, ' & ') || ' \\\\' || chr(10) || '\\end{{tabular}}' WHEN 'figure' THEN '\\begin{{figure}}' || chr(10) || '\\caption{{' || text || '}}' || chr(10) || '\\end{{figure}}' ELSE '\\hrule' END"""
+    WHEN 'list' THEN '\\begin{{' || env || '}}' || chr(10) || {_each('ls', chr(92) + 'item ')} || chr(10) || '\\end{{' || env || '}}' WHEN 'quote' THEN '\\begin{{quote}}' || chr(10) || text || chr(10) || '\\end{{quote}}'
+    WHEN 'code' THEN CASE WHEN language IS NULL THEN '\\begin{{verbatim}}' || chr(10) || text || chr(10) || '\\end{{verbatim}}' ELSE '\\begin{{lstlisting}}[language=' || language || ']' || chr(10) || text || chr(10) || '\\end{{lstlisting}}' END
+    WHEN 'table' THEN '\\begin{{tabular}}{{|' || repeat('c|', wide) || '}}' || chr(10) || array_to_string(list_transform(rs, lambda r: array_to_string(r, ' & ') || ' \\\\'), chr(10)) || chr(10) || '\\end{{tabular}}'
+    WHEN 'figure' THEN CASE WHEN text <> '' THEN '\\begin{{figure}}' || chr(10) || '\\caption{{' || text || '}}' || chr(10) || '\\end{{figure}}' END ELSE '\\hrule' END"""
+
+
+_CELLS = "array_to_string(list_transform({r}, lambda c: '<{t}>' || c || '</{t}>'), '')"
+_HTML = f"""CASE kind WHEN 'heading' THEN '<h' || level || '>' || {_X} || '</h' || level || '>' WHEN 'paragraph' THEN '<p>' || {_X} || '</p>' WHEN 'formula' THEN '\\[' || text || '\\]'
+ WHEN 'list' THEN CASE WHEN ordered THEN '<ol>' ELSE '<ul>' END || {_each(_XL, '<li>', '</li>', "''")} || CASE WHEN ordered THEN '</ol>' ELSE '</ul>' END WHEN 'quote' THEN '<blockquote>' || {_each(_XL, '<p>', '</p>', "''")} || '</blockquote>'
+ WHEN 'code' THEN '<pre><code' || coalesce(' class="language-' || language || '"', '') || '>' || {_X} || '</code></pre>'
+ WHEN 'table' THEN '<table><thead><tr>' || {_CELLS.format(r=f'({_XR})[1]', t='th')} || '</tr></thead>' || CASE WHEN len(rs) > 1 THEN '<tbody>' || array_to_string(list_transform(({_XR})[2:], lambda r: '<tr>' || {_CELLS.format(r='r', t='td')} || '</tr>'), '') || '</tbody>' ELSE '' END || '</table>'
+ WHEN 'figure' THEN '<figure><figcaption>' || {_X} || '</figcaption></figure>' ELSE '<hr>' END"""
+_HTML_HEAD = """'<!DOCTYPE html>' || chr(10) || '<html><head><meta charset="utf-8"><script src="https://cdn.jsdelivr.net/npm/mathjax@3/es5/tex-mml-chtml.js"></script></head><body>' || chr(10)"""
+_TYPST = f"""CASE kind WHEN 'heading' THEN repeat('=', level) || ' ' || text WHEN 'paragraph' THEN text WHEN 'formula' THEN '$ ' || text || ' $' WHEN 'list' THEN CASE WHEN ordered THEN {_each('ls', '+ ')} ELSE {_each('ls', '- ')} END WHEN 'quote' THEN '#quote[' || text || ']'
+ WHEN 'code' THEN {_FENCE} WHEN 'table' THEN '#table(columns: ' || wide || ', ' || array_to_string(list_transform(flatten(rs), lambda z: '[' || z || ']'), ', ') || ')' WHEN 'figure' THEN '// ' || text ELSE '#line(length: 100%)' END"""
+_SVG = f"""SELECT doc_id, '<svg xmlns="http://www.w3.org/2000/svg" width="400" height="200">' || chr(10) || string_agg('<text x="10" y="' || y || '">' || replace({_X}, chr(39), '&apos;') || '</text>', chr(10) ORDER BY page_idx, ord) || chr(10) || '</svg>' || chr(10) AS body
+ FROM (SELECT *, CAST(20 + coalesce(sum(CASE WHEN kind = 'formula' THEN 25 ELSE 20 END) OVER (PARTITION BY doc_id, page_idx ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS y FROM {{v_blocks}} b WHERE kind IN ('paragraph', 'formula')) q GROUP BY doc_id"""
+
+
+def _syntax_sql(a: str, z: str, formula: str = "text") -> str:
+    return f"SELECT doc_id, string_agg(CASE WHEN kind = 'formula' THEN {a} || {formula} || {z} WHEN text <> '' THEN text END, chr(10) || chr(10) ORDER BY page_idx, ord) AS body FROM {{v_blocks}} b WHERE kind IN ('paragraph', 'formula') GROUP BY doc_id HAVING body IS NOT NULL"
 
 
-_HTML = f"""CASE kind WHEN 'heading' THEN '<h' || level || '>' || {_X} || '</h' || level || '>' WHEN 'paragraph' THEN '<p>' || {_X} || '</p>' WHEN 'formula' THEN '\\[' || text || '\\]' WHEN 'list' THEN '<ul><li>' || {_X} || '</li></ul>'
- WHEN 'quote' THEN '<blockquote><p>' || {_X} || '</p></blockquote>' WHEN 'code' THEN '<pre><code>' || {_X} || '</code></pre>'
- WHEN 'table' THEN '<table><thead><tr>' || array_to_string(list_transform(regexp_split_to_array({_XC}, ' +'), lambda z: '<th>' || z || '</th>'), '') || '</tr></thead></table>' WHEN 'figure' THEN '<figure><figcaption>' || {_X} || '</figcaption></figure>' ELSE '<hr>' END"""
-_TYPST = """CASE kind WHEN 'heading' THEN repeat('=', level) || ' ' || text WHEN 'paragraph' THEN text WHEN 'formula' THEN '$ ' || text || ' $' WHEN 'list' THEN '- ' || text WHEN 'quote' THEN '#quote[' || text || ']'
- WHEN 'code' THEN '```' || chr(10) || text || chr(10) || '```' WHEN 'table' THEN '#table(columns: ' || len(c) || ', ' || array_to_string(list_transform(c, lambda z: '[' || z || ']'), ', ') || ')' WHEN 'figure' THEN '// ' || text ELSE '#line(length: 100%)' END"""
+def _replaced_sql() -> str:
+    out = "text"
+    for old, new in d.REPLACED:
+        out = f"replace({out}, '{old}', '{new}')"
+    return f"replace({out}, chr(92), '')"
 
 
 def _blocks(f, *a, **k):
@@ -76,7 +104,8 @@ def _spaces(sp, sf):
 
 
 def _edits(blocks):
-    return blocks.where("ord % 4 = 0").select("doc_id", F.col("ord").alias("seq"), F.when(F.col("ord") % 8 == 0, "insert_block").otherwise("replace_text").alias("type"), "page_idx", "ord")
+    """An edit of every block, its type by place."""
+    return blocks.select("doc_id", F.col("ord").alias("seq"), F.when(F.col("ord") % 2 == 0, "insert_block").otherwise("replace_text").alias("type"), "page_idx", "ord")
 
 
 QUERIES = {
@@ -104,15 +133,21 @@ QUERIES = {
     ),
     "doc_text_collect": (_digest(d.collect_text), _digested("SELECT doc_id, string_agg(CASE WHEN kind = 'horizontal_rule' THEN '---' || chr(10) WHEN kind NOT IN ('table', 'figure') THEN text || chr(10) END, '' ORDER BY page_idx, ord) AS body FROM {v_blocks} b GROUP BY doc_id")),
     "doc_json_roundtrip": (lambda sp, sf: d.from_json(d.to_json(view(sp, sf, "v_blocks"))), "SELECT * FROM {v_blocks} b"),
-    "doc_operation_inverse": (lambda sp, sf: d.inverse_edits(_edits(view(sp, sf, "v_blocks"))), "SELECT doc_id, ord AS seq, CASE WHEN ord % 8 = 0 THEN 'remove_block' END AS inverse, page_idx, ord FROM {v_blocks} b WHERE ord % 4 = 0"),
-    "conv_latex": (_digest(d.latex), _digested(_printed(_latex_case("'$$'", "'$$'"), head=r"'\documentclass{article}' || chr(10) || '\usepackage{amsmath}' || chr(10) || '\begin{document}' || chr(10) || chr(10)", foot=r"chr(10) || chr(10) || '\end{document}' || chr(10)"))),
+    "doc_operation_inverse": (lambda sp, sf: d.inverse_edits(_edits(view(sp, sf, "v_blocks"))), "SELECT doc_id, ord AS seq, CASE WHEN ord % 2 = 0 THEN 'remove_block' END AS inverse, page_idx, ord FROM {v_blocks} b"),
+    "conv_latex": (_digest(d.latex), _digested(_printed(_latex_case("'$$'", "'$$'"), head=r"'\documentclass{article}' || chr(10) || '\usepackage{amsmath}' || chr(10) || '\usepackage{listings}' || chr(10) || '\begin{document}' || chr(10) || chr(10)", foot=r"chr(10) || chr(10) || '\end{document}' || chr(10)"))),
     "conv_latex_display": (_digest(d.latex_display), _digested(_printed(_latex_case(r"'\['", r"'\]'")))),
     "conv_latex_equation": (_digest(d.latex_equation), _digested(_printed(_latex_case(r"'\begin{equation}' || chr(10)", r"chr(10) || '\end{equation}'")))),
-    "conv_markdown_block": (_digest(d.markdown), _digested(_printed(_md_sql()))),
-    "conv_markdown_inline": (_digest(d.markdown), _digested(_printed(_md_sql()))),
+    "conv_markdown_block": (_digest(d.markdown), _digested(_printed(_MARKDOWN))),
     "conv_typst": (_digest(d.typst), _digested(_printed(_TYPST))),
     "conv_html": (_digest(d.html, page=False), _digested(_printed(_HTML, "chr(10)"))),
-    "conv_html_page": (_digest(d.html), None),
+    "conv_html_page": (_digest(d.html), _digested(_printed(_HTML, "chr(10)", head=_HTML_HEAD, foot="chr(10) || '</body></html>' || chr(10)"))),
+    "conv_typst_document": (_digest(d.typst_document), None),
+    "conv_mathml_document": (_digest(d.mathml), None),
+    "conv_omml_document": (_digest(d.omml), None),
+    "syntax_latex": (_digest(d.syntax, "latex"), _digested(_syntax_sql("'$$' || chr(10)", "chr(10) || '$$'"))),
+    "syntax_typst": (_digest(d.syntax, "typst"), _digested(_syntax_sql("'$ '", "' $'", _replaced_sql()))),
+    "syntax_typst_formulas": (_formulas(typst=d.typst_replaced), f"SELECT formula_id, {_replaced_sql().replace('text', 'latex', 1)} AS typst {_F}"),
+    "render_counts": (_blocks(d.render_counts), "SELECT doc_id, count(DISTINCT page_idx) AS pages, count(*) FILTER (WHERE kind IN ('paragraph', 'formula')) AS nodes FROM {v_blocks} b GROUP BY doc_id"),
     "conv_xml_escape": (lambda sp, sf: table(sp, sf, "documents").select("doc_id", F.sha2(m.xml_escape(F.col("text")), 256).alias("escaped")), f"SELECT doc_id, sha256({_X}) AS escaped FROM documents"),
     "render_tree": (_blocks(d.render_nodes), "SELECT doc_id, page_idx, ord, kind, text FROM {v_blocks} b WHERE kind IN ('paragraph', 'formula')"),
     "render_text": (_digest(d.render_text), _digested("SELECT doc_id, string_agg(text, chr(10) ORDER BY page_idx, ord) AS body FROM {v_blocks} b WHERE kind IN ('paragraph', 'formula') GROUP BY doc_id")),
@@ -120,7 +155,7 @@ QUERIES = {
         lambda sp, sf: d.svg_layout(view(sp, sf, "v_blocks")).select("doc_id", "ord", F.col("y").cast("long").alias("y")),
         "SELECT doc_id, ord, CAST(20 + coalesce(sum(CASE WHEN kind = 'formula' THEN 25 ELSE 20 END) OVER (PARTITION BY doc_id, page_idx ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS y FROM {v_blocks} b WHERE kind IN ('paragraph', 'formula')",
     ),
-    "render_svg": (_blocks(d.svg), None),
+    "render_svg": (_blocks(d.svg), _SVG),
     "render_pdf": (_blocks(d.pdf), None),
 }
 SQL = {name: duck_sql(sql) for name, (_, sql) in QUERIES.items() if sql}

@@ -99,6 +99,24 @@ def _split(v, kind):
     return v.where(F.col("class_id") == kind)
 
 
+#: Kahn's order with the least name first, for the manifests of v_nodes: dependencies first, depth by depth.
+_ORDERS = """WITH RECURSIVE bad AS (SELECT n.pipeline, n.name || ' depends on ' || n.dep || ', which is not there' AS error FROM {v_nodes} n WHERE n.dep <> '' AND NOT EXISTS (SELECT 1 FROM {v_nodes} m WHERE m.pipeline = n.pipeline AND m.name = n.dep)),
+ reach AS (SELECT pipeline, name AS a, dep AS b FROM {v_nodes} n WHERE dep <> '' UNION SELECT r.pipeline, r.a, n.dep FROM reach r JOIN {v_nodes} n ON n.pipeline = r.pipeline AND n.name = r.b WHERE n.dep <> ''),
+ loops AS (SELECT pipeline, 'cycle among ' || string_agg(DISTINCT a, ', ' ORDER BY a) AS error FROM reach WHERE a = b GROUP BY pipeline),
+ deep AS (SELECT pipeline, name, 0 AS k FROM {v_nodes} n WHERE dep = '' UNION SELECT n.pipeline, n.name, k + 1 FROM deep JOIN {v_nodes} n ON n.pipeline = deep.pipeline AND n.dep = deep.name WHERE k < 100)
+ SELECT pipeline, -1 AS place, NULL AS name, error FROM bad UNION ALL SELECT pipeline, -1, NULL, error FROM loops
+ UNION ALL SELECT pipeline, CAST(row_number() OVER (PARTITION BY pipeline ORDER BY k, name) - 1 AS INTEGER), name, NULL FROM (SELECT pipeline, name, max(k) AS k FROM deep GROUP BY pipeline, name) z WHERE pipeline NOT IN (SELECT pipeline FROM bad UNION SELECT pipeline FROM loops)"""
+_GRID = "(SELECT image_id, h, w FROM (SELECT DISTINCT image_id FROM {v_gray} g) i CROSS JOIN (SELECT unnest(range(%d)) AS h) y CROSS JOIN (SELECT unnest(range(%d)) AS w) x)"
+_PADDED = "SELECT p.image_id, CAST(5 AS INTEGER) AS width, CAST(20 AS INTEGER) AS height, 'gray' AS format, string_agg(printf('%02X', coalesce(gray, 0)), '' ORDER BY h, w) AS pixels FROM " + _GRID % (20, 5) + " p LEFT JOIN {v_gray} g ON g.image_id = p.image_id AND r = h AND c = w GROUP BY p.image_id"
+#: 4 x 16 pixels onto 11 x 11: scale 11/16, so 2.75 rounds to 3 columns, 4 to the left of them.
+_LETTERBOX = "SELECT p.image_id, CAST(11 AS INTEGER) AS width, CAST(11 AS INTEGER) AS height, 'gray' AS format, string_agg(printf('%02X', coalesce(gray, 114)), '' ORDER BY h, w) AS pixels FROM " + _GRID % (11, 11) + " p LEFT JOIN {v_gray} g ON g.image_id = p.image_id AND w BETWEEN 4 AND 4 + round(4 * 11 / 16.0) - 1 AND r = h * 16 // 11 AND c = (w - 4) * 4 // CAST(round(4 * 11 / 16.0) AS BIGINT) GROUP BY p.image_id"
+
+
+def _normalized(sp, sf):
+    found = im.normalized(_gray_images(sp, sf), [0.485], [0.229])
+    return found.select("image_id", F.posexplode("values").alias("i", "x")).select("image_id", F.expr("cast(i div 4 as bigint)").alias("r"), (F.col("i") % 4).cast("long").alias("c"), F.round(F.col("x").cast("double"), 3).alias("v"))
+
+
 QUERIES = {
     "page_markdown": (flagship.page_markdown, None),
     "conv_formulas_all": (_convert(*c.FORMATS), None),
@@ -117,7 +135,7 @@ QUERIES = {
     "conv_symbols": (lambda sp, sf: c.symbol_table(sp), _SYMBOLS),
     "conv_name_symbols": (lambda sp, sf: c.name_symbols(view(sp, sf, "v_formulas"), "latex").select("formula_id", F.array_join("symbols", "").alias("symbols")), None),
     "conv_colors": (_colors, _COLORS),
-    "pipe_toposort": (lambda sp, sf: graph.orders(view(sp, sf, "v_nodes")), None),
+    "pipe_toposort": (lambda sp, sf: graph.orders(view(sp, sf, "v_nodes")), _ORDERS),
     "pipe_missing_deps": (lambda sp, sf: graph.missing_dependencies(view(sp, sf, "v_nodes")), "SELECT n.pipeline, n.name, n.dep FROM {v_nodes} n WHERE n.dep <> '' AND NOT EXISTS (SELECT 1 FROM {v_nodes} m WHERE m.pipeline = n.pipeline AND m.name = n.dep)"),
     "pipe_cycles": (lambda sp, sf: graph.cyclic_pipelines(view(sp, sf, "v_nodes")), "WITH RECURSIVE r AS (SELECT pipeline, name AS a, dep AS b FROM {v_nodes} n WHERE dep <> '' UNION SELECT r.pipeline, r.a, n.dep FROM r JOIN {v_nodes} n ON n.pipeline = r.pipeline AND n.name = r.b WHERE n.dep <> '') SELECT DISTINCT pipeline FROM r WHERE a = b"),
     "pipe_run": (engine.run, None),
@@ -130,14 +148,19 @@ QUERIES = {
     "eng_merge_regions": (lambda sp, sf: (lambda v: r.merge_regions(_split(v, 1), _split(v, 0)))(view(sp, sf, "v_boxes")), _MERGE),
     "eng_limited_request": (lambda sp, sf: r.limited(view(sp, sf, "v_boxes"), 2, 0.9).select("image_id", "box_id"), _LIMITED),
     "stream_items": (lambda sp, sf: r.stream_items(view(sp, sf, "v_boxes")), _ITEMS),
-    "mock_recognition": (lambda sp, sf: r.mock_recognition(view(sp, sf, "v_boxes"), view(sp, sf, "v_formulas")), None),
+    "mock_recognition": (
+        lambda sp, sf: r.mock_recognition(view(sp, sf, "v_boxes"), view(sp, sf, "v_formulas")).drop("class_id"),
+        "SELECT image_id, box_id, x, y, w, h, confidence, class_name, latex, class_name = 'isolated' AS display FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY box_id) AS nth FROM {v_boxes} b) z JOIN {v_formulas} f ON f.formula_id = (image_id + nth) % (SELECT max(formula_id) FROM {v_formulas} g) + 1",
+    ),
     "src_checksum": (_checksums, "SELECT CAST(doc_id AS VARCHAR) AS path, doc_id % 3 <> 2 AS ok FROM documents"),
     "src_candidates": (_candidates, "SELECT * FROM (VALUES ('a', 'model.onnx'), ('b', 'another.onnx'), ('d', 'model_quantized.onnx')) v(dir, file)"),
     "bind_validate": (_requests, "SELECT image_id, box_id, class_id = 1 AS ok FROM {v_boxes} b"),
     "img_resize": (lambda sp, sf: _pixels(sp, sf, lambda a: im.resize(a, 2, 8)), _RESIZED),
     "img_crop": (lambda sp, sf: _pixels(sp, sf, lambda a: im.crop(a, 1.4, 1.6, 2, 3)), _CROPPED),
-    "img_pad_to_stride": (lambda sp, sf: _pixels(sp, sf, lambda a: im.pad_to_stride(a, 5)), None),
-    "img_letterbox": (lambda sp, sf: _pixels(sp, sf, lambda a: im.letterbox(a, 12)[0]), None),
+    "img_pad_to_stride": (lambda sp, sf: _pixels(sp, sf, lambda a: im.pad_to_stride(a, 5)), _PADDED),
+    "img_letterbox": (lambda sp, sf: _pixels(sp, sf, lambda a: im.letterbox(a, 11)[0]), _LETTERBOX),
+    "img_normalize": (_normalized, "SELECT image_id, r, c, round((gray / 255.0 - 0.485) / 0.229, 3) AS v FROM {v_gray} g"),
+    "img_pixel": (lambda sp, sf: _gray_images(sp, sf).select("image_id", im.pixel_at("pixels", 2, 5, 4).alias("gray")), "SELECT image_id, gray FROM {v_gray} g WHERE r = 5 AND c = 2"),
     "tdet_components": (lambda sp, sf: _maps(sp, sf, lambda p: im.components(p), "seq_id long, n int, x int, y int, w int, h int, pixels int"), None),
     "tdet_contours": (lambda sp, sf: _maps(sp, sf, lambda p: [(len(x), min(q[0] for q in x), min(q[1] for q in x)) for x in im.contours(p)], "seq_id long, n int, points int, x int, y int"), None),
 }

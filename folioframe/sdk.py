@@ -15,7 +15,10 @@ PRINTERS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "latex": documents.latex,
     "latex_display": documents.latex_display,
     "latex_equation": documents.latex_equation,
-    "typst": documents.typst,
+    "typst": documents.typst_document,
+    "mathml": documents.mathml,
+    "omml": documents.omml,
+    "json": lambda blocks: documents.to_json(blocks).withColumnRenamed("json", "body"),
     "markdown": documents.markdown,
     "html": documents.html,
     "svg": documents.svg,

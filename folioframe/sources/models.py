@@ -21,6 +21,7 @@ CONFIG = T.StructType(
 CTC_DEFAULTS = {"height": 48, "width": 3200, "color_format": "bgr", "mean": [0.5] * 3, "std": [0.5] * 3}
 #: Names that model files go by, best first.
 MODEL_FILES = ("model.onnx", "inference.onnx", "model_quantized.onnx")
+SETTINGS = {"models_dir": "models", "threads": 4, "device": "cpu", "max_regions": 100, "min_confidence": 0.25}
 ENCODER_FILES = ("encoder_model.onnx", "encoder.onnx")
 DECODER_FILES = ("decoder_model.onnx", "decoder.onnx", "decoder_model_merged.onnx")
 TOKENIZER_FILES = ("tokenizer.json", "vocab.json")
@@ -33,6 +34,55 @@ def read_configs(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("*", F.coalesce("postprocess.confidence_threshold", F.lit(0.25)).alias("threshold"), F.coalesce("input.color_format", F.lit("rgb")).alias("color")).withColumnRenamed("_corrupt_record", "error")
 
 
+def exported_recognizers(listing: DataFrame) -> DataFrame:
+    """(dir, height, width, color_format, mean, std): directories of a listing (dir, file) that hold an inference.yml, with what they take."""
+    found = listing.where("file = 'inference.yml'").select("dir").distinct()
+    numbers = [F.array(*[F.lit(x) for x in CTC_DEFAULTS[k]]).alias(k) for k in ("mean", "std")]
+    return found.select("dir", *[F.lit(CTC_DEFAULTS[k]).alias(k) for k in ("height", "width", "color_format")], *numbers)
+
+
+def recognition_parameters(configs: DataFrame) -> DataFrame:
+    """(name, height, width, blank, mean, std) of read_configs' rows, with the defaults of text recognisers."""
+    of = lambda column, key: F.coalesce(F.col(column), F.array(*[F.lit(x) for x in CTC_DEFAULTS[key]])).alias(key)
+    size = [F.coalesce(f"preprocess.resize.{k}", F.lit(CTC_DEFAULTS[k])).alias(k) for k in ("height", "width")]
+    return configs.select("name", *size, F.lit(0).alias("blank"), of("preprocess.normalization.mean", "mean"), of("preprocess.normalization.std", "std"))
+
+
+def detection_parameters(configs: DataFrame, side: int = 768) -> DataFrame:
+    """(name, side, confidence, overlap, mean, std) of read_configs' rows; a std above 1 is for pixels up to 255, and is brought to 1."""
+    numbers = lambda key, default: F.coalesce(f"preprocess.normalization.{key}", F.array(*[F.lit(default)] * 3))
+    whole = F.array_max(numbers("std", 1.0)) > 1
+    scaled = lambda key, default: F.when(whole, F.transform(numbers(key, default), lambda x: x / 255)).otherwise(numbers(key, default)).alias(key)
+    limits = [F.coalesce("postprocess.confidence_threshold", F.lit(0.25)).alias("confidence"), F.coalesce("postprocess.iou_threshold", F.lit(0.45)).alias("overlap")]
+    return configs.select("name", F.coalesce("preprocess.resize.width", F.lit(side)).alias("side"), *limits, scaled("mean", 0.0), scaled("std", 1.0))
+
+
+def text_model(listing: DataFrame, roots: list[str]) -> DataFrame:
+    """(root, dir, model): of each root (in their order) the first directory that has a configuration, a model and keys."""
+    has = lambda c: F.max(c.cast("int")) == 1
+    file = F.col("file")
+    usable = listing.groupBy("dir").agg(has(file.isin("config.json", "inference.yml")).alias("configured"), has(file.endswith(".txt") | file.endswith(".yml")).alias("keyed")).where("configured and keyed")
+    models = first_candidate(listing, MODEL_FILES).withColumnRenamed("file", "model").join(usable, "dir")
+    order = F.create_map(*[x for i, r in enumerate(roots) for x in (F.lit(r), F.lit(i))])
+    rooted = models.withColumn("root", F.element_at(F.filter(F.array(*[F.lit(r) for r in roots]), lambda r: models["dir"].startswith(r)), 1)).where("root IS NOT NULL")
+    return rooted.groupBy("root").agg(F.min_by(F.struct("dir", "model"), F.struct(F.try_element_at(order, F.col("root")), "dir")).alias("m")).select("root", "m.dir", "m.model")
+
+
+def load_settings(path: str) -> dict:
+    """An engine's settings, a JSON file; what it lacks has the value of SETTINGS."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        return SETTINGS | json.load(f)
+
+
+def save_settings(path: str, settings: dict) -> None:
+    import json
+
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(SETTINGS | settings, f, indent=2, ensure_ascii=False)
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """(source, category, variant, url, sha256) of a manifest whose names are in camel or snake case."""
     raw = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))

@@ -44,6 +44,40 @@ def test_printing(spark):
         Folio(blocks).to("doc")
 
 
+def test_printers_keep_structure(spark):
+    made = Builder().heading(1, "H").items(["one two", "three"], ordered=True).items(["a"]).table([["a b", "c"], ["d", "e & f"]]).code("x <- 1", "r").code("y").quote([Block("paragraph", "q1"), Block("paragraph", "q2")], "me").figure("").paragraph("see $\\alpha$ here").display_formula("\\frac12").build()
+    blocks = frame(spark, {3: made})
+    assert documents.markdown(blocks).first().body == "# H\n\n1. one two\n2. three\n\n- a\n\n| a b | c |\n| --- | --- |\n| d | e & f |\n\n```r\nx <- 1\n```\n\n```\ny\n```\n\n> q1\n> q2\n> — me\n\n![]()\n\nsee $\\alpha$ here\n\n$$\\frac12$$"
+    tex = documents.latex(blocks, preamble=False).first().body
+    assert "\\begin{enumerate}\n\\item one two\n\\item three\n\\end{enumerate}" in tex and "\\begin{itemize}\n\\item a\n\\end{itemize}" in tex
+    assert "\\begin{tabular}{|c|c|}\na b & c \\\\\nd & e & f \\\\\n\\end{tabular}" in tex and "\\begin{lstlisting}[language=r]\nx <- 1" in tex and "verbatim}\ny" in tex and "figure" not in tex
+    page = documents.html(blocks, page=False).first().body
+    assert "<ol><li>one two</li><li>three</li></ol>" in page and "<thead><tr><th>a b</th><th>c</th></tr></thead><tbody><tr><td>d</td><td>e &amp; f</td></tr></tbody>" in page
+    assert '<code class="language-r">x &lt;- 1</code>' in page and "<blockquote><p>q1</p><p>q2</p><p>— me</p></blockquote>" in page
+    typst = documents.typst_document(blocks).first().body
+    assert "+ one two\n+ three" in typst and "#table(columns: 2, [a b], [c], [d], [e & f])" in typst and "see $alpha$ here" in typst and "$ frac(1, 2) $" in typst
+    xml = documents.mathml(blocks).first().body
+    assert xml.startswith("<math xmlns=") and "<mtext>see </mtext>" in xml and "<inlinemath>\n<mi>α</mi>\n</inlinemath>" in xml and "<displaymath>\n<mfrac><mn>1</mn><mn>2</mn></mfrac>\n</displaymath>" in xml
+    assert "<mml:mfrac>" in documents.mathml(blocks, "mml").first().body and "<m:oMathPara" in documents.omml(blocks).first().body
+    assert documents.syntax(blocks, "typst").first().body == "see $\\alpha$ here\n\n$ frac12 $" and documents.syntax(blocks).first().body.endswith("$$\n\\frac12\n$$")
+    back = documents.from_json(documents.to_json(blocks))
+    assert sorted(map(str, back.collect())) == sorted(map(str, blocks.collect()))
+    assert documents.render_counts(blocks).first().nodes == 2 and Folio(blocks).to_all().count() == len(Folio(blocks).to_all().select("format").distinct().collect())
+
+
+def test_long_cycles(spark):
+    ring = [("ring", "n%d" % i, "n%d" % ((i + 1) % 25)) for i in range(25)] + [("line", "a", ""), ("line", "b", "a"), ("gap", "x", "nowhere")]
+    assert [r.pipeline for r in graph.cyclic_pipelines(spark.createDataFrame(ring, "pipeline string, name string, dep string")).collect()] == ["ring"]
+
+
+def test_ampersands_and_letterbox(spark):
+    cases = {"a & b": "a \\quad  b", "x \\& y": "x \\& y", "x \\\\& y": "x \\\\\\quad  y", "p & \\begin{m} a & b \\end{m} & q": "p \\quad  \\begin{m} a & b \\end{m} \\quad  q"}
+    for text, want in cases.items():
+        assert spark.range(1).select(markup.space_alignment(F.lit(text)).alias("s")).first().s == want
+    out, scale, x, y = images.letterbox(np.zeros((7, 10, 1), np.uint8), 8)
+    assert (scale, x, y) == (0.8, 0, 1) and (out[:, 0, 0] == 0).sum() == 6
+
+
 def test_edits(spark):
     blocks = frame(spark, {1: built()})
     edits = spark.createDataFrame([(1, 1, "replace_text", 0, 1, "new"), (1, 2, "remove_block", 0, 2, None)], "doc_id long, seq int, type string, page_idx int, ord int, text string")
