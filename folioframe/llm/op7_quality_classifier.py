@@ -2,7 +2,7 @@
 
 Words. Trusted rows are those labelled quality 1 and toxic 0. The model is fitted on all of them but a fifth (by a hash
 of doc_id), which is held out for the thresholds. The vocabulary is the MOST_WORDS most frequent words of those seen
-MIN_COUNT times or more, a bound on what is broadcast; another word becomes the class of its letters, one of CLASSES by
+MIN_COUNT times or more (fewer where several are as frequent), a bound on what is broadcast; another word becomes the class of its letters, one of CLASSES by
 hash. A word like the one before it is an event of its own, which the model never learns. Words are numbers of 21 bits,
 so an n-gram is one long, exactly.
 
@@ -32,6 +32,7 @@ have no effect. Tasks hold a block of BLOCK words, or one text where it is longe
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -134,6 +135,21 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x >> np.uint64(24)
 
 
+@dataclass(frozen=True)
+class Vocabulary:
+    """Words with their numbers, from FIRST_WORD on, as bytes until a process needs them."""
+
+    name: str
+    data: bytes
+
+    @property
+    def numbers(self) -> dict[str, int]:
+        return _numbered_words(self.name, self.data)
+
+    def __contains__(self, word: str) -> bool:
+        return word in self.numbers
+
+
 @dataclass
 class Sharding:
     """How n-grams are dealt to shards. salts[word] is over how many shards a middle word's n-grams lie."""
@@ -269,7 +285,7 @@ def _found(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarra
 class Model:
     """Words are sent to all tasks; counts of trigrams and bigrams stay in written tables, packed by shard."""
 
-    vocabulary: dict[str, int]
+    vocabulary: Vocabulary
     words: Words
     sharding: Sharding
     trigrams: DataFrame
@@ -283,7 +299,7 @@ class Model:
             return np.empty(0, np.int64), np.empty(0)
         pairs = [[_unpacked_counts(r.data) for r in df.select("data").collect()] for df in (self.trigrams, self.bigrams)]
         part = Part(self.words, *(_added([np.empty(0, np.int64), *(x[0] for x in p)], [np.empty(0, np.int64), *(x[1] for x in p)]) for p in pairs))
-        count, word = _coded(pa.array(texts, pa.string()), self.vocabulary)
+        count, word = _coded(pa.array(texts, pa.string()), self.vocabulary.numbers)
         three, at = _trigrams(count, word)
         odds = np.where(three & _WORD == AGAIN, np.log(self.words.base), part.log_odds(three))
         return count + 1, -np.bincount(at, odds, len(count)) / (count + 1)
@@ -320,27 +336,53 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int | None = None, max_w
     return model
 
 
-def _vocabulary(own: DataFrame) -> tuple[dict[str, int], Sharding]:
-    """The MOST_WORDS most frequent words, and shards for as many n-grams as there are words."""
+def _numbered_words(name: str, data: bytes) -> dict[str, int]:
+    """The vocabulary that data holds, made once a process; name tells vocabularies apart."""
+    if name not in _MADE:
+        _MADE.clear()
+        words = pa.ipc.open_stream(data).read_all().column(0).to_pylist()
+        _MADE[name] = {w: FIRST_WORD + i for i, w in enumerate(words)}
+    return _MADE[name]
+
+
+_MADE: dict[str, dict[str, int]] = {}
+
+
+def _vocabulary(own: DataFrame) -> tuple[Vocabulary, Sharding]:
+    """The most frequent words, MOST_WORDS at most, and shards for as many n-grams as there are words.
+
+    Words are taken by level of frequency, 64 to a doubling: all of a level or none, as far down as the bound allows.
+    """
+    spark = own.sparkSession
     counted, counted_at = write_table(own.select(F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("w")).where("w <> ''").groupBy("w").count(), "words")
     total = (counted.agg(F.sum("count").alias("n")).first().n or 0) + 2 * own.count()
-    most = counted.where(F.col("count") >= MIN_COUNT).orderBy(F.col("count").desc(), "w").limit(MOST_WORDS)
-    rows = most.collect()  # at most MOST_WORDS
-    vocabulary = {r.w: FIRST_WORD + i for i, r in enumerate(rows)}
-    sent = own.sparkSession.sparkContext.broadcast(vocabulary)
+    usable = counted.where(F.col("count") >= MIN_COUNT).withColumn("level", F.floor(F.log2("count") * 64))
+    least, held = None, 0
+    for r in sorted(usable.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):  # a few thousand levels
+        held += r.n
+        if held > MOST_WORDS:
+            break
+        least = r.level
+    chosen = usable.where(F.lit(False) if least is None else F.col("level") >= least).select("w", "count").toArrow()
+    chosen = chosen.sort_by([("count", "descending"), ("w", "ascending")])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pa.schema([("w", chosen.schema.field("w").type)])) as out:
+        out.write_table(chosen.select(["w"]))
+    vocabulary = Vocabulary(uuid.uuid4().hex, sink.getvalue().to_pybytes())
+    sent = spark.sparkContext.broadcast(vocabulary)
 
     def classes(batches):
-        known = sent.value
+        known = sent.value.numbers
         for batch in batches:
             found = [(_class_number(letter_class(w)), n) for w, n in zip(*(c.to_pylist() for c in batch.columns), strict=True) if w not in known]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["word", "n"])
 
     of_class = counted.mapInArrow(classes, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # at most CLASSES
-    drop_table(own.sparkSession, counted_at)
-    share = np.zeros(FIRST_WORD + len(rows))
+    drop_table(spark, counted_at)
+    share = np.zeros(FIRST_WORD + len(chosen))
     share[START] = own.count() / total
     share[[r.word for r in of_class]] = [r.n / total for r in of_class]
-    share[FIRST_WORD:] = [r["count"] / total for r in rows]
+    share[FIRST_WORD:] = chosen.column("count").to_numpy() / total
     shards = max(LEAST_SHARDS, -(-total // SHARD_WORDS))
     return vocabulary, Sharding(shards, np.minimum(1 + np.floor(share * shards), shards).astype(np.int64))
 
@@ -355,7 +397,7 @@ def _counted(own: DataFrame) -> Model:
     def trigrams(batches):
         vocabulary, sharding = sent.value
         for rows in _blocks(batches, 0):
-            three, _ = _trigrams(*_coded(rows.column(0), vocabulary))
+            three, _ = _trigrams(*_coded(rows.column(0), vocabulary.numbers))
             key, count = _added([three[three & _WORD != AGAIN]], [np.ones(int((three & _WORD != AGAIN).sum()), np.int64)])
             found = [(s, _packed_counts(key[at], count[at])) for s, at in _by_shard(sharding.of_trigrams(key), sharding.shards)]
             if found:
@@ -433,7 +475,7 @@ def _sums(rows: DataFrame, model: Model) -> tuple[DataFrame, list[str]]:
 
     def coded(batches):
         for block in _blocks(batches, 1):
-            count, word = _coded(block.column(1), known_words.value)
+            count, word = _coded(block.column(1), known_words.value.numbers)
             yield pa.RecordBatch.from_arrays([pa.array([pack([block.column(0).to_numpy()])]), pa.array([pack([count, word])])], ["ids", "words"])
 
     def batch_of(found):
