@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from folioframe.llm.ordering import numbered
 from folioframe.llm.packing_bytes import pack, unpack
-from folioframe.llm.storage import drop_table, fresh_path, shuffles_end_here, write_table
+from folioframe.llm.storage import batches_of, drop_table, fresh_path, shuffles_end_here, write_table
 from folioframe.llm.trusted import trusted_ids
 
 MIN_COUNT = 3
@@ -64,6 +64,7 @@ BLOCK = 1 << 19
 SHARD_WORDS = 1 << 19
 LEAST_SHARDS = 64
 PASSES = 8
+BLOCKS_AT_ONCE = 16
 MOST_SENT = 1 << 22
 _WORD = (1 << WORD_BITS) - 1
 _PAIR = (1 << 2 * WORD_BITS) - 1
@@ -128,6 +129,13 @@ def _blocks(batches, text_column: int):
                 yield batch.slice(a, b - a)
 
 
+def _rows(batches):
+    """The rows of batches, each copied when it is its turn."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield tuple(c[k].as_py() for c in batch.columns)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -194,17 +202,16 @@ def _unpacked_counts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 def _merged(batches):
     """(shard, key, count) of the shards in rows (shard, data), which come sorted by shard."""
     now, keys, counts = None, [], []
-    for batch in batches:
-        for shard, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if shard != now and keys:
-                yield now, *_added(keys, counts)
-                keys, counts = [], []
-            now = shard
-            key, count = _unpacked_counts(data)
-            keys.append(key)
-            counts.append(count)
-            if len(keys) == 64:  # so that a shard's blocks are never all held apart
-                keys, counts = ([x] for x in _added(keys, counts))
+    for shard, data in _rows(batches):
+        if shard != now and keys:
+            yield now, *_added(keys, counts)
+            keys, counts = [], []
+        now = shard
+        key, count = _unpacked_counts(data)
+        keys.append(key)
+        counts.append(count)
+        if len(keys) == 64:  # so that a shard's blocks are never all held apart
+            keys, counts = ([x] for x in _added(keys, counts))
     if keys:
         yield now, *_added(keys, counts)
 
@@ -484,7 +491,8 @@ def _sums(rows: DataFrame, model: Model) -> tuple[DataFrame, list[str]]:
     def asked(now):
         def run(batches):
             sharding = sent.value[0]
-            for ids, words in (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+            _MADE.clear()  # passes need no vocabulary
+            for ids, words in _rows(batches):
                 (ids,), (count, word) = unpack(ids), unpack(words)
                 three, at = _trigrams(count, word)
                 again = three & _WORD == AGAIN
@@ -511,22 +519,21 @@ def _sums(rows: DataFrame, model: Model) -> tuple[DataFrame, list[str]]:
         def run(batches):
             """Trigrams as they are; bigrams for each shard that their first word is dealt to."""
             sharding = sent.value[0]
-            for batch in batches:
-                for shard, order, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if order == 3:
-                        yield batch_of([(shard, _MODEL, None, data, None)])
-                        continue
-                    key, count = _unpacked_counts(data)
-                    first = key >> WORD_BITS
-                    salts = sharding.salts[first]
-                    place = np.repeat(np.arange(len(key)), salts)
-                    salt = np.arange(len(place)) - np.repeat(np.cumsum(salts) - salts, salts)
-                    to = sharding.at(first[place], salt)
-                    mine = to % PASSES == now
-                    place, to = place[mine], to[mine]
-                    found = [(s, _MODEL, _packed_counts(key[place[x]], count[place[x]]), None, None) for s, x in _by_shard(to, sharding.shards)]
-                    if found:
-                        yield batch_of(found)
+            for shard, order, data in _rows(batches):
+                if order == 3:
+                    yield batch_of([(shard, _MODEL, None, data, None)])
+                    continue
+                key, count = _unpacked_counts(data)
+                first = key >> WORD_BITS
+                salts = sharding.salts[first]
+                place = np.repeat(np.arange(len(key)), salts)
+                salt = np.arange(len(place)) - np.repeat(np.cumsum(salts) - salts, salts)
+                to = sharding.at(first[place], salt)
+                mine = to % PASSES == now
+                place, to = place[mine], to[mine]
+                found = [(s, _MODEL, _packed_counts(key[place[x]], count[place[x]]), None, None) for s, x in _by_shard(to, sharding.shards)]
+                if found:
+                    yield batch_of(found)
 
         return run
 
@@ -535,7 +542,7 @@ def _sums(rows: DataFrame, model: Model) -> tuple[DataFrame, list[str]]:
         now, part, three, two = None, None, [], []
         for batch in batches:
             ids, ns, sums = [], [], []
-            for shard, kind, data, more, who in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for shard, kind, data, more, who in _rows([batch]):
                 if shard != now:
                     now, part, three, two = shard, None, [], []
                 if kind == _MODEL:
@@ -569,7 +576,7 @@ def _sums(rows: DataFrame, model: Model) -> tuple[DataFrame, list[str]]:
         every = counts.union(blocks.mapInArrow(asked(now), _ROWS))
         sums = _dealt(every, sharding.shards, "kind", share=PASSES).mapInArrow(answered, _SUMS)
         paths.append(fresh_path(spark, "sums"))
-        with shuffles_end_here(spark):
+        with shuffles_end_here(spark), batches_of(spark, BLOCKS_AT_ONCE):
             sums.groupBy("id").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).write.parquet(paths[-1])
     drop_table(spark, blocks_at)
     return spark.read.schema(_SUMS).parquet(*paths), paths

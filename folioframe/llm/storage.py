@@ -8,6 +8,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_ROWS_AT_ONCE = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -52,6 +53,17 @@ def shuffles_end_here(spark: SparkSession):
             spark.conf.set(_CLEANUP, before)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Within, queries hand their Python workers so many rows at once; the setting is put back after."""
+    before = spark.conf.get(_ROWS_AT_ONCE)
+    spark.conf.set(_ROWS_AT_ONCE, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_ROWS_AT_ONCE, before)
+
+
 def write_table(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """df written as Parquet in the shared folder and read again: lineage ends there, and lost executors lose nothing."""
     path = fresh_path(df.sparkSession, label)
