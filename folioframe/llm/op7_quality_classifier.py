@@ -32,7 +32,6 @@ have no effect. Tasks hold a block of BLOCK words, or one text where it is longe
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -65,6 +64,7 @@ SHARD_WORDS = 1 << 19
 LEAST_SHARDS = 64
 PASSES = 8
 BLOCKS_AT_ONCE = 16
+TEXTS_AT_ONCE = 2_500
 MOST_SENT = 1 << 22
 _WORD = (1 << WORD_BITS) - 1
 _PAIR = (1 << 2 * WORD_BITS) - 1
@@ -91,12 +91,11 @@ def _class_number(kind: str) -> int:
     return FIRST_CLASS + xxhash.xxh64_intdigest(kind.encode("utf-8", "surrogatepass"), 7) % CLASSES
 
 
-def _coded(texts: pa.Array, vocabulary: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+def _coded(texts: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """How many words each text has, and the numbers of all words, as `[^\\x20\\x09-\\x0D]+` cuts them."""
     lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     coded = lists.flatten().dictionary_encode()
-    get = vocabulary.get
-    numbers = np.array([(get(w) or _class_number(letter_class(w))) if w else 0 for w in coded.dictionary.to_pylist()], np.int64)
+    numbers = vocabulary.numbers(coded.dictionary)
     code = coded.indices.to_numpy()
     word = numbers[code] if len(code) else np.empty(0, np.int64)
     at = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
@@ -121,8 +120,9 @@ def _trigrams(count: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _blocks(batches, text_column: int):
     """The batches in slices of about BLOCK words (eight bytes a word, with its blank)."""
     for batch in batches:
-        size = pc.fill_null(pc.binary_length(batch.column(text_column)), 0).to_numpy() + 8
-        block = np.cumsum(size) // (8 * BLOCK)
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_column)), 0).to_numpy() + 8).astype(np.int64)
+        parts = max(1, round(int(size[-1]) / (8 * BLOCK))) if len(size) else 0
+        block = (size - 1) * parts // size[-1] if parts else size
         cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
             if a < b:
@@ -145,17 +145,24 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Words with their numbers, from FIRST_WORD on, as bytes until a process needs them."""
+    """Words, whose numbers count from FIRST_WORD on, as the bytes of an Arrow stream."""
 
-    name: str
     data: bytes
 
-    @property
-    def numbers(self) -> dict[str, int]:
-        return _numbered_words(self.name, self.data)
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Places of words in the vocabulary, -1 where there is none."""
+        known = pa.ipc.open_stream(self.data).read_all().column(0).combine_chunks()
+        return pc.fill_null(pc.index_in(words.cast(known.type), value_set=known), -1).to_numpy().astype(np.int64)
+
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """Numbers of words, or of their classes; 0 for an empty one."""
+        out = self.places(words) + FIRST_WORD
+        other = np.flatnonzero(out < FIRST_WORD)
+        out[other] = [_class_number(letter_class(w)) if w else 0 for w in words.take(pa.array(other)).to_pylist()]
+        return out
 
     def __contains__(self, word: str) -> bool:
-        return word in self.numbers
+        return bool(self.places(pa.array([word]))[0] >= 0)
 
 
 @dataclass
@@ -306,7 +313,7 @@ class Model:
             return np.empty(0, np.int64), np.empty(0)
         pairs = [[_unpacked_counts(r.data) for r in df.select("data").collect()] for df in (self.trigrams, self.bigrams)]
         part = Part(self.words, *(_added([np.empty(0, np.int64), *(x[0] for x in p)], [np.empty(0, np.int64), *(x[1] for x in p)]) for p in pairs))
-        count, word = _coded(pa.array(texts, pa.string()), self.vocabulary.numbers)
+        count, word = _coded(pa.array(texts, pa.string()), self.vocabulary)
         three, at = _trigrams(count, word)
         odds = np.where(three & _WORD == AGAIN, np.log(self.words.base), part.log_odds(three))
         return count + 1, -np.bincount(at, odds, len(count)) / (count + 1)
@@ -343,18 +350,6 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int | None = None, max_w
     return model
 
 
-def _numbered_words(name: str, data: bytes) -> dict[str, int]:
-    """The vocabulary that data holds, made once a process; name tells vocabularies apart."""
-    if name not in _MADE:
-        _MADE.clear()
-        words = pa.ipc.open_stream(data).read_all().column(0).to_pylist()
-        _MADE[name] = {w: FIRST_WORD + i for i, w in enumerate(words)}
-    return _MADE[name]
-
-
-_MADE: dict[str, dict[str, int]] = {}
-
-
 def _vocabulary(own: DataFrame) -> tuple[Vocabulary, Sharding]:
     """The most frequent words, MOST_WORDS at most, and shards for as many n-grams as there are words.
 
@@ -375,14 +370,14 @@ def _vocabulary(own: DataFrame) -> tuple[Vocabulary, Sharding]:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, pa.schema([("w", chosen.schema.field("w").type)])) as out:
         out.write_table(chosen.select(["w"]))
-    vocabulary = Vocabulary(uuid.uuid4().hex, sink.getvalue().to_pybytes())
+    vocabulary = Vocabulary(sink.getvalue().to_pybytes())
     sent = spark.sparkContext.broadcast(vocabulary)
 
     def classes(batches):
-        known = sent.value.numbers
         for batch in batches:
-            found = [(_class_number(letter_class(w)), n) for w, n in zip(*(c.to_pylist() for c in batch.columns), strict=True) if w not in known]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["word", "n"])
+            number = sent.value.numbers(batch.column(0))
+            rare = number < FIRST_WORD
+            yield pa.RecordBatch.from_arrays([pa.array(number[rare]), pa.array(batch.column(1).to_numpy()[rare])], ["word", "n"])
 
     of_class = counted.mapInArrow(classes, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # at most CLASSES
     drop_table(spark, counted_at)
@@ -404,7 +399,7 @@ def _counted(own: DataFrame) -> Model:
     def trigrams(batches):
         vocabulary, sharding = sent.value
         for rows in _blocks(batches, 0):
-            three, _ = _trigrams(*_coded(rows.column(0), vocabulary.numbers))
+            three, _ = _trigrams(*_coded(rows.column(0), vocabulary))
             key, count = _added([three[three & _WORD != AGAIN]], [np.ones(int((three & _WORD != AGAIN).sum()), np.int64)])
             found = [(s, _packed_counts(key[at], count[at])) for s, at in _by_shard(sharding.of_trigrams(key), sharding.shards)]
             if found:
@@ -482,7 +477,7 @@ def _sums(rows: DataFrame, model: Model) -> tuple[DataFrame, list[str]]:
 
     def coded(batches):
         for block in _blocks(batches, 1):
-            count, word = _coded(block.column(1), known_words.value.numbers)
+            count, word = _coded(block.column(1), known_words.value)
             yield pa.RecordBatch.from_arrays([pa.array([pack([block.column(0).to_numpy()])]), pa.array([pack([count, word])])], ["ids", "words"])
 
     def batch_of(found):
@@ -491,7 +486,6 @@ def _sums(rows: DataFrame, model: Model) -> tuple[DataFrame, list[str]]:
     def asked(now):
         def run(batches):
             sharding = sent.value[0]
-            _MADE.clear()  # passes need no vocabulary
             for ids, words in _rows(batches):
                 (ids,), (count, word) = unpack(ids), unpack(words)
                 three, at = _trigrams(count, word)
@@ -568,7 +562,8 @@ def _sums(rows: DataFrame, model: Model) -> tuple[DataFrame, list[str]]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, ns, sums)], ["id", "n", "s"])
 
     paths = []
-    blocks, blocks_at = write_table(rows.select("id", "text").mapInArrow(coded, "ids binary, words binary"), "coded")
+    with batches_of(spark, TEXTS_AT_ONCE):
+        blocks, blocks_at = write_table(rows.select("id", "text").mapInArrow(coded, "ids binary, words binary"), "coded")
     known = model.trigrams.select("shard", F.lit(3).alias("order"), "data")
     pairs = model.bigrams.select("shard", F.lit(2).alias("order"), "data")
     for now in range(PASSES):
