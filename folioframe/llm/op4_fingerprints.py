@@ -104,15 +104,13 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _place(c: Column, cuts: list[int]) -> Column:
-    """Number of the range, from the largest ids down, by binary search over the limits."""
-
-    def search(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(len(cuts) - low)
-        middle = (low + high) // 2
-        return F.when(c <= cuts[middle], search(low, middle)).otherwise(search(middle + 1, high))
-
-    return F.when(c.isNull(), len(cuts) + 1).otherwise(search(0, len(cuts)))
+    """Number of the range, from the largest ids down, by binary search over the limits, which are one folded literal."""
+    if not cuts:
+        return F.when(c.isNull(), 1).otherwise(0)
+    limits = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))])
+    below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(limits, at + step - 1) < c, at + step).otherwise(at))
+    return F.when(c.isNull(), len(cuts) + 1).otherwise(F.lit(len(cuts)) - below)
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:

@@ -104,3 +104,11 @@ def test_likeness_is_near_the_truth(spark):
     found = {r.doc_id: r.near_next for r in op.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     errors = [abs(found[i] - j) for i, j in truth.items()]
     assert sum(errors) / len(errors) < 0.03 and max(errors) < 0.15
+
+
+def test_ranges_are_found_by_binary_search(spark):
+    ids = [None, -(10**15), 0, 5, 10**15, *range(-3, 60)]
+    df = spark.createDataFrame([(x,) for x in ids], "doc_id long")
+    for cuts in ([], [5], [0, 5], [-1, 0, 7, 8, 9, 30, 31], list(range(-2, 58, 2))):
+        for r in df.select("doc_id", op._place(F.col("doc_id"), cuts).alias("range")).collect():
+            assert r.range == (len(cuts) + 1 if r.doc_id is None else sum(c >= r.doc_id for c in cuts))
