@@ -64,6 +64,18 @@ class Page:
     blocks: list[Block] = field(default_factory=list)
 
 
+class Visitor:
+    """Called for a document, its pages, its blocks (those of quotes too) and their texts, in order; override what is wanted."""
+
+    def document(self, document: Document) -> None: ...
+
+    def page(self, page: Page) -> None: ...
+
+    def block(self, block: Block) -> None: ...
+
+    def inline(self, text: str) -> None: ...
+
+
 @dataclass
 class Document:
     metadata: dict = field(default_factory=dict)
@@ -72,6 +84,21 @@ class Document:
     def block_count(self) -> int:
         return sum(len(p.blocks) for p in self.pages)
 
+    def accept(self, visitor: Visitor) -> Visitor:
+        def down(block: Block) -> None:
+            visitor.block(block)
+            for b in block.blocks:
+                down(b)
+            for x in [] if block.kind == "quote" else block.inlines():
+                visitor.inline(x)
+
+        visitor.document(self)
+        for p in self.pages:
+            visitor.page(p)
+            for b in p.blocks:
+                down(b)
+        return visitor
+
     def all_blocks(self) -> list[Block]:
         return [b for p in self.pages for b in p.blocks]
 

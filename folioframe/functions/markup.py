@@ -85,14 +85,19 @@ def space_alignment(text: Column) -> Column:
     return F.when(text.contains("\\begin{"), F.concat(spaced(part(1)), part(2), spaced(part(3)))).otherwise(spaced(text))
 
 
+def _chained(text: Column, mark: str) -> Column:
+    """x^a^b^c becomes {{x^a}^b}^c: all but the last script are grouped with what is before."""
+    script = mark + r"(?:\{[^{}]*\}|[A-Za-z0-9])"
+    chain = rf"[A-Za-z0-9](?:{script}){{2,}}"
+    parts = lambda c: F.regexp_extract_all(c, F.lit(script), F.lit(0))
+    nested = lambda c: F.concat(F.repeat(F.lit("{"), F.size(parts(c)) - 1), F.substring(c, 1, 1), F.array_join(parts(c), "}"))
+    found = F.transform(F.regexp_extract_all(text, F.lit(chain), F.lit(0)), nested)
+    return F.array_join(F.zip_with(F.split(text, chain), F.concat(found, F.array(F.lit(""))), lambda before, c: F.concat(before, c)), "")
+
+
 def split_double_scripts(text: Column) -> Column:
-    """x^a^b becomes {x^a}^b, for plain and braced arguments; adjacent marks (x^^2) become one. Bounded: two passes."""
-    out = F.regexp_replace(text, r"([\^_])[\^_]+", "$1")
-    arg = r"(?:\{[^{}]*\}|[A-Za-z0-9])"
-    for _ in range(2):
-        out = F.regexp_replace(out, rf"([A-Za-z0-9]\^{arg})(?=\^)", r"{$1}")
-        out = F.regexp_replace(out, rf"([A-Za-z0-9]_{arg})(?=_)", r"{$1}")
-    return out
+    """x^a^b becomes {x^a}^b, for plain and braced arguments and chains of any length; adjacent marks (x^^2) become one."""
+    return _chained(_chained(F.regexp_replace(text, r"([\^_])[\^_]+", "$1"), r"\^"), "_")
 
 
 def fill_fractions(text: Column, compat: bool = False) -> Column:

@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
+from pyspark.sql.functions import pandas_udf, udtf
 
 from folioframe.functions import formulas, prose, symbols
 
@@ -43,6 +44,22 @@ def convert_formulas(df: DataFrame, text: str, source: str = "latex", targets: t
     return df.select(*keep, text).mapInArrow(run, schema.removeprefix(", "))
 
 
+def register(spark) -> None:
+    """The SQL function folioframe_convert(text, source, target), in Arrow batches; null for what cannot be read."""
+    @pandas_udf("string")
+    def convert(text: pd.Series, source: pd.Series, target: pd.Series) -> pd.Series:
+        def one(t, s, o):
+            try:
+                return formulas.convert(t, s, o)
+            except (formulas.FormulaError, RecursionError):
+                return None
+
+        done = {k: None if k[0] is None else one(*k) for k in set(zip(text, source, target, strict=True))}
+        return pd.Series([done[k] for k in zip(text, source, target, strict=True)], dtype="object")
+
+    spark.udf.register("folioframe_convert", convert)
+
+
 @udtf(returnType="node int, parent int, depth int, ordinal int, kind string, value string")
 class FormulaNodes:
     """The tree of a LaTeX formula as pre-order rows."""

@@ -56,6 +56,18 @@ def collect_text(blocks: DataFrame) -> DataFrame:
     return joined(blocks, text, "")
 
 
+def as_latex(blocks: DataFrame) -> DataFrame:
+    """Formula blocks with `latex`: their text where their format is latex (or there is none), else an empty text."""
+    other = F.coalesce(F.lower(_own(blocks, "format", "string")) != "latex", F.lit(False))
+    return blocks.where("kind = 'formula'").withColumn("latex", F.when(other, "").otherwise(F.coalesce("text", F.lit(""))))
+
+
+def places(blocks: DataFrame) -> DataFrame:
+    """(doc_id, page_idx, ord, x, y, w, h, confidence, source): where each block comes from; null where that is unknown."""
+    numbers = [_own(blocks, c, "double").alias(c) for c in ("x", "y", "w", "h", "confidence")]
+    return blocks.select("doc_id", "page_idx", "ord", *numbers, _own(blocks, "source", "string").alias("source"))
+
+
 def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 

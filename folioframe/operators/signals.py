@@ -108,6 +108,15 @@ def greedy_tokens(step, start: int, most: int = 256, eos: int = EOS, pad: int =
     return ids[1:]
 
 
+def greedy_sequences(found: DataFrame, eos: int = EOS, pad: int = 0) -> DataFrame:
+    """(seq_id, ids): greedy decoding where the scores of all steps (seq_id, t, logits) are known beforehand."""
+    best = found.select("seq_id", "t", last_argmax("logits").alias("id"))
+    stop = F.min(F.when(F.col("id").isin(eos, pad), F.col("t"))).over(Window.partitionBy("seq_id"))
+    said = F.when(stop.isNull() | (F.col("t") < stop), F.struct("t", "id"))
+    marked = best.withColumn("said", said)
+    return marked.groupBy("seq_id").agg(F.transform(F.array_sort(F.collect_list("said")), lambda x: x.id).alias("ids"))
+
+
 def beam_tokens(step, start: int, beams: int = 3, top: int = 5, most: int = 256, eos: int = EOS) -> list[int]:
     """Beam search over log probabilities of the last position; ties keep the earlier beam."""
     import math

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from abc import ABC, abstractmethod
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,28 @@ from folioframe.operators import boxes as b
 from folioframe.operators import recognize as r
 from folioframe.plans.graph import Context, Graph, TransformNode
 
+class Service(ABC):
+    """Something with a life of its own beside queries; used as a context manager it is stopped in any case."""
+
+    name: str
+    running = False
+
+    @abstractmethod
+    def start(self) -> None: ...
+
+    def stop(self) -> None:
+        self.running = False
+
+    def __enter__(self):
+        self.start()
+        self.running = True
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.stop()
+        self.running = False
+
+
 MODES = ("formula", "text", "mixed")
 
 

@@ -35,6 +35,11 @@ WITH s AS (SELECT image_id, list({{'o': -confidence, 'box_id': box_id, 'x': x, '
 r AS (SELECT image_id, unnest(list_reduce(list_transform(l, lambda z: [z]), lambda acc, e: CASE WHEN len(list_filter(acc, lambda k: {_inter("k", "e[1]")} > 0.5 * {_union("k", "e[1]")})) > 0 THEN acc ELSE list_concat(acc, e) END)) AS k FROM s)
 SELECT image_id, k.box_id AS box_id, round(-k.o, 6) AS confidence FROM r"""
 
+def nms_sql(only: str | None = None) -> str:
+    """(image_id, box_id) that suppression keeps, of one class or all."""
+    return "(SELECT image_id, box_id FROM (" + (_NMS if only is None else _NMS.replace("{v_boxes} b GROUP", "{v_boxes} b WHERE class_name = '" + only + "' GROUP")) + ") nms)"
+
+
 _SEG = """
 WITH t AS (SELECT image_id, box_id AS text_id, x AS tx, y AS ty, w AS tw, h AS th FROM {v_boxes} b WHERE class_id = 0),
 f AS (SELECT image_id, x AS fx, y AS fy, w AS fw, h AS fh FROM {v_boxes} b WHERE class_id = 1),
@@ -154,6 +159,10 @@ QUERIES = {
         lambda sp, sf: s.steps(view(sp, sf, "v_logits")).select("seq_id", "t", s.first_argmax("logits").alias("first"), s.last_argmax("logits").alias("last")),
         f"SELECT seq_id, t, CAST(list_position(l, list_max(l)) - 1 AS INTEGER) AS first, CAST(len(l) - list_position(list_reverse(l), list_max(l)) AS INTEGER) AS last FROM {_STEPS} s",
     ),
+    "dec_greedy": (
+        lambda sp, sf: s.greedy_sequences(s.steps(view(sp, sf, "v_logits"))).select("seq_id", F.array_join("ids", ",").alias("ids")),
+        f"WITH k AS (SELECT seq_id, t, len(l) - list_position(list_reverse(l), list_max(l)) AS id FROM {_STEPS} s), e AS (SELECT *, max(CASE WHEN id IN (0, 2) THEN 1 ELSE 0 END) OVER (PARTITION BY seq_id ORDER BY t) AS ended FROM k) SELECT seq_id, coalesce(string_agg(CAST(id AS VARCHAR), ',' ORDER BY t) FILTER (WHERE ended = 0), '') AS ids FROM e GROUP BY seq_id",
+    ),
     "tok_decode": (_tokens, _DETOK.replace("TOKENS", _TOKENS)),
     "rec_width": (_dims, _DIMS),
     "tdet_back_project": (

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from folioframe.fixtures import duck_sql, view
 from folioframe.functions import symbols
 from folioframe.operators import convert as c
+from folioframe.operators import documents as d
 from folioframe.operators import images as im
 from folioframe.operators import recognize as r
 from folioframe.plans import engine, flagship, graph
+from folioframe.plans.geometry_queries import nms_sql
 from folioframe.session import table
 from folioframe.sources import models
 
@@ -112,13 +114,47 @@ _PADDED = "SELECT p.image_id, CAST(5 AS INTEGER) AS width, CAST(20 AS INTEGER) A
 _LETTERBOX = "SELECT p.image_id, CAST(11 AS INTEGER) AS width, CAST(11 AS INTEGER) AS height, 'gray' AS format, string_agg(printf('%02X', coalesce(gray, 114)), '' ORDER BY h, w) AS pixels FROM " + _GRID % (11, 11) + " p LEFT JOIN {v_gray} g ON g.image_id = p.image_id AND w BETWEEN 4 AND 4 + round(4 * 11 / 16.0) - 1 AND r = h * 16 // 11 AND c = (w - 4) * 4 // CAST(round(4 * 11 / 16.0) AS BIGINT) GROUP BY p.image_id"
 
 
+_SURE = "WHERE w * h >= 100 AND confidence >= 0.2"
+#: Boxes that survive suppression and filters, in reading order, with the formula that the mock gives each.
+_PAGES = f"""SELECT image_id AS doc_id, string_agg(CASE WHEN class_name = 'isolated' THEN '$$' || latex || '$$' ELSE '$' || latex || '$' END, chr(10) || chr(10) ORDER BY place) AS body
+ FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY y, x, box_id) AS place, row_number() OVER (PARTITION BY image_id ORDER BY box_id) AS nth FROM {nms_sql()} n JOIN {{v_boxes}} b USING (image_id, box_id) {_SURE}) z
+ JOIN {{v_formulas}} f ON f.formula_id = (image_id + nth) % (SELECT max(formula_id) FROM {{v_formulas}} g) + 1 GROUP BY image_id"""
+
+
+def _regions_sql(*kinds: tuple[str, int]) -> str:
+    each = [f"SELECT image_id, box_id, y, {rank} AS rank FROM {nms_sql(name)} n JOIN {{v_boxes}} b USING (image_id, box_id) {_SURE}" for name, rank in kinds]
+    return f"SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY y, rank, box_id) AS place FROM ({' UNION ALL '.join(each)}) z"
+
+
+_NAMED = f"""SELECT f.formula_id, coalesce(string_agg(s.unicode, '' ORDER BY i), '') AS symbols FROM {{v_formulas}} f
+ LEFT JOIN (SELECT formula_id, unnest(l) AS c, unnest(range(len(l))) AS i FROM (SELECT formula_id, regexp_extract_all(latex, '\\\\[A-Za-z]+') AS l FROM {{v_formulas}} g) q) u ON u.formula_id = f.formula_id LEFT JOIN ({_SYMBOLS}) s ON s.latex = u.c GROUP BY f.formula_id"""
+
+
+def _rgba_images(sp, sf):
+    """The same pixels as 4 x 4 images of four channels: v_gray's row is the pixel, its column the channel."""
+    return _gray_images(sp, sf).select("image_id", F.lit(4).alias("width"), F.lit(4).alias("height"), F.lit("rgba").alias("format"), "pixels")
+
+
+_CHANNELS = "SELECT image_id, CAST(4 AS INTEGER) AS width, CAST(4 AS INTEGER) AS height, '{kind}' AS format, string_agg(printf('%02X', gray), '' ORDER BY r, {order}) AS pixels FROM {{v_gray}} g WHERE c < {n} GROUP BY image_id"
+_LISTING = [("m/b", "inference.yml"), ("m/b", "inference.onnx"), ("m/a", "config.json"), ("m/a", "keys.txt"), ("m/a", "model.onnx"), ("n/x", "model.onnx")]
+
+
+def _listing(sp):
+    return sp.createDataFrame(_LISTING, "dir string, file string")
+
+
+def _formatted(sp, sf):
+    """Formula blocks, every third of another format."""
+    return view(sp, sf, "v_blocks").withColumn("format", F.when(F.col("ord") % 3 == 0, "mathml").otherwise("latex"))
+
+
 def _normalized(sp, sf):
     found = im.normalized(_gray_images(sp, sf), [0.485], [0.229])
     return found.select("image_id", F.posexplode("values").alias("i", "x")).select("image_id", F.expr("cast(i div 4 as bigint)").alias("r"), (F.col("i") % 4).cast("long").alias("c"), F.round(F.col("x").cast("double"), 3).alias("v"))
 
 
 QUERIES = {
-    "page_markdown": (flagship.page_markdown, None),
+    "page_markdown": (flagship.page_markdown, _PAGES),
     "conv_formulas_all": (_convert(*c.FORMATS), None),
     "conv_mathml": (_convert("mathml"), None),
     "conv_mathml_mml": (_convert("mathml_mml"), None),
@@ -133,13 +169,13 @@ QUERIES = {
     "latex_parse": (lambda sp, sf: c.expand(view(sp, sf, "v_formulas").withColumn("latex", F.concat(F.lit("so $x$ and $$"), "latex", F.lit("$$ end"))), "formula_id", "latex", c.LatexBlocks), None),
     "md_parse": (lambda sp, sf: c.expand(table(sp, sf, "documents"), "doc_id", "text", c.MarkdownBlocks), None),
     "conv_symbols": (lambda sp, sf: c.symbol_table(sp), _SYMBOLS),
-    "conv_name_symbols": (lambda sp, sf: c.name_symbols(view(sp, sf, "v_formulas"), "latex").select("formula_id", F.array_join("symbols", "").alias("symbols")), None),
+    "conv_name_symbols": (lambda sp, sf: c.name_symbols(view(sp, sf, "v_formulas"), "latex").select("formula_id", F.array_join("symbols", "").alias("symbols")), _NAMED),
     "conv_colors": (_colors, _COLORS),
     "pipe_toposort": (lambda sp, sf: graph.orders(view(sp, sf, "v_nodes")), _ORDERS),
     "pipe_missing_deps": (lambda sp, sf: graph.missing_dependencies(view(sp, sf, "v_nodes")), "SELECT n.pipeline, n.name, n.dep FROM {v_nodes} n WHERE n.dep <> '' AND NOT EXISTS (SELECT 1 FROM {v_nodes} m WHERE m.pipeline = n.pipeline AND m.name = n.dep)"),
     "pipe_cycles": (lambda sp, sf: graph.cyclic_pipelines(view(sp, sf, "v_nodes")), "WITH RECURSIVE r AS (SELECT pipeline, name AS a, dep AS b FROM {v_nodes} n WHERE dep <> '' UNION SELECT r.pipeline, r.a, n.dep FROM r JOIN {v_nodes} n ON n.pipeline = r.pipeline AND n.name = r.b WHERE n.dep <> '') SELECT DISTINCT pipeline FROM r WHERE a = b"),
-    "pipe_run": (engine.run, None),
-    "pipe_run_formula": (lambda sp, sf: engine.run(sp, sf, "formula"), None),
+    "pipe_run": (engine.run, _regions_sql(("isolated", 0), ("embedding", 1))),
+    "pipe_run_formula": (lambda sp, sf: engine.run(sp, sf, "formula"), _regions_sql(("isolated", 0))),
     "line_groups": (lambda sp, sf: _maps(sp, sf, lambda p: [(len(g),) for g in im.line_groups((255 * (1 - p.repeat(4, 0).repeat(4, 1)[:, :, None])).astype("uint8"))], "seq_id long, n int, rows int"), None),
     "job_last_status": (lambda sp, sf: graph.last_status(view(sp, sf, "v_jobs")), "SELECT job_id, arg_max(status, seq) AS status, count(*) AS n FROM {v_jobs} j GROUP BY job_id"),
     "job_queue_counts": (lambda sp, sf: graph.queue_counts(view(sp, sf, "v_jobs")), "SELECT status, count(*) AS jobs FROM (SELECT job_id, arg_max(status, seq) AS status FROM {v_jobs} j GROUP BY job_id) z GROUP BY status"),
@@ -159,6 +195,17 @@ QUERIES = {
     "img_crop": (lambda sp, sf: _pixels(sp, sf, lambda a: im.crop(a, 1.4, 1.6, 2, 3)), _CROPPED),
     "img_pad_to_stride": (lambda sp, sf: _pixels(sp, sf, lambda a: im.pad_to_stride(a, 5)), _PADDED),
     "img_letterbox": (lambda sp, sf: _pixels(sp, sf, lambda a: im.letterbox(a, 11)[0]), _LETTERBOX),
+    "img_swap_red_blue": (lambda sp, sf: _digest(im.map_images(_rgba_images(sp, sf), im.swap_red_blue)), _CHANNELS.format(kind="rgba", n=4, order="CASE c WHEN 0 THEN 2 WHEN 2 THEN 0 ELSE c END")),
+    "img_drop_alpha": (lambda sp, sf: _digest(im.map_images(_rgba_images(sp, sf), im.drop_alpha)), _CHANNELS.format(kind="rgb", n=3, order="c")),
+    "img_resize_to_fit": (lambda sp, sf: _pixels(sp, sf, lambda a: im.resize_to_fit(a, 8)), _RESIZED),
+    "img_png_roundtrip": (lambda sp, sf: _digest(im.map_images(_rgba_images(sp, sf), lambda a: im.decode(im.encode_png(a)))), _CHANNELS.format(kind="rgba", n=4, order="c")),
+    "src_exported": (lambda sp, sf: models.exported_recognizers(_listing(sp)).select("dir", "height", "width", "color_format"), "SELECT 'm/b' AS dir, 48 AS height, 3200 AS width, 'bgr' AS color_format"),
+    "src_text_model": (lambda sp, sf: models.text_model(_listing(sp), ["m/", "n/"]), "SELECT 'm/' AS root, 'm/a' AS dir, 'model.onnx' AS model"),
+    "doc_as_latex": (lambda sp, sf: d.as_latex(_formatted(sp, sf)).select("doc_id", "ord", "latex"), "SELECT doc_id, ord, CASE WHEN ord % 3 = 0 THEN '' ELSE text END AS latex FROM {v_blocks} b WHERE kind = 'formula'"),
+    "doc_places": (
+        lambda sp, sf: d.places(view(sp, sf, "v_boxes").select(F.col("image_id").alias("doc_id"), F.lit(0).alias("page_idx"), F.col("box_id").alias("ord"), *"xywh", "confidence")).drop("source"),
+        "SELECT image_id AS doc_id, CAST(0 AS INTEGER) AS page_idx, box_id AS ord, x, y, w, h, confidence FROM {v_boxes} b",
+    ),
     "img_normalize": (_normalized, "SELECT image_id, r, c, round((gray / 255.0 - 0.485) / 0.229, 3) AS v FROM {v_gray} g"),
     "img_pixel": (lambda sp, sf: _gray_images(sp, sf).select("image_id", im.pixel_at("pixels", 2, 5, 4).alias("gray")), "SELECT image_id, gray FROM {v_gray} g WHERE r = 5 AND c = 2"),
     "tdet_components": (lambda sp, sf: _maps(sp, sf, lambda p: im.components(p), "seq_id long, n int, x int, y int, w int, h int, pixels int"), None),

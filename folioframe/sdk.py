@@ -6,10 +6,13 @@ import logging
 from collections import defaultdict
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioframe.operators import convert, documents
+from folioframe.plans.graph import Context
+from folioframe.plans.image_nodes import document_graph
+from folioframe.sources.models import read_images
 
 PRINTERS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "latex": documents.latex,
@@ -37,11 +40,26 @@ class Folio:
         rows = convert.expand(df, key, text, convert.MarkdownBlocks)
         return cls(rows.select(F.col(key).alias("doc_id"), F.lit(0).alias("page_idx"), "ord", "kind", "level", "text"))
 
+    @classmethod
+    def from_images(cls, images: DataFrame, mode: str = "mixed", **models) -> Folio:
+        """Of images (image_id, width, height, format, pixels), a document each; models as plans.image_nodes names them."""
+        return cls(document_graph(mode).run(Context({"images": images}, dict(models))).frames["blocks"])
+
+    @classmethod
+    def from_files(cls, spark: SparkSession, path: str, mode: str = "mixed", **models) -> Folio:
+        """Of image files; a document's id is a hash of its path, and a file that is no image has no blocks."""
+        images = read_images(spark, path).where("error IS NULL").withColumn("image_id", F.xxhash64("path"))
+        return cls.from_images(images, mode, **models)
+
     def to(self, format: str) -> DataFrame:
         if format not in PRINTERS:
             raise ValueError(f"unknown format: {format}")
         return PRINTERS[format](self.blocks)
 
+    def write(self, format: str, path: str) -> None:
+        """(doc_id, body) of a format as Parquet files, in place of what is there."""
+        self.to(format).write.mode("overwrite").parquet(path)
+
     def to_all(self, formats: tuple[str, ...] = tuple(PRINTERS)) -> DataFrame:
         """(doc_id, format, body) in one table."""
         made = [self.to(f).select("doc_id", F.lit(f).alias("format"), "body") for f in formats]

@@ -266,3 +266,59 @@ def test_every_box_is_recognised(spark):
     sf = "/root/testdata/sf0.001"
     got = catalogue.queries()["mock_recognition"](spark, sf)
     assert got.count() == view(spark, sf, "v_boxes").count() == got.select("image_id", "box_id").distinct().count()
+
+
+def test_visitor():
+    from folioframe.document import Block, Builder, Visitor
+
+    class Kinds(Visitor):
+        def __init__(self):
+            self.seen = []
+
+        def block(self, block):
+            self.seen.append(block.kind)
+
+        def inline(self, text):
+            self.seen.append(text)
+
+    document = Builder().page().heading(1, "h").quote([Block("paragraph", "p")]).items(["a", "b"]).rule().build()
+    assert document.accept(Kinds()).seen == ["heading", "h", "quote", "paragraph", "p", "list", "a", "b", "horizontal_rule"]
+
+
+def test_chains_of_scripts(spark):
+    from pyspark.sql import functions as F
+
+    from folioframe.functions import markup
+
+    cases = {"x^a^b": "{x^a}^b", "x^a^b^c^{d+e}+1": "{{{x^a}^b}^c}^{d+e}+1", "y_1_2 z^^2": "{y_1}_2 z^2", "x^2 y_i": "x^2 y_i", "": ""}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r.t: r.s for r in df.select("t", markup.split_double_scripts(F.col("t")).alias("s")).collect()} == cases
+
+
+def test_sql_function(spark):
+    from folioframe.operators import convert
+
+    convert.register(spark)
+    got = spark.sql("SELECT folioframe_convert('x^2', 'latex', 'typst') AS a, folioframe_convert(CAST(NULL AS STRING), 'latex', 'typst') AS b").first()
+    assert "x" in got.a and got.b is None
+
+
+def test_service_and_render(monkeypatch, capsys):
+    import io
+    import sys
+
+    from folioframe.__main__ import main
+    from folioframe.plans.engine import Service
+
+    class One(Service):
+        name = "one"
+
+        def start(self):
+            self.begun = True
+
+    with One() as one:
+        assert one.running and one.begun
+    assert not one.running
+    monkeypatch.setattr(sys, "stdin", io.StringIO("so $x$ and $$y$$"))
+    assert main(["render"]) == 0
+    assert capsys.readouterr().out == "so\n\n$x$\n\nand\n\n$$\ny\n$$\n"

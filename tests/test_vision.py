@@ -19,6 +19,11 @@ class Boxes:
         return {"out": np.array([[[20.0, 21.0, 8.0, 4.0, 0.9, 0.1], [20.5, 21.0, 8.0, 4.0, 0.8, 0.1], [50.0, 40.0, 6.0, 6.0, 0.2, 0.7]] + [[0.0] * 6] * 5])}
 
 
+class Large:
+    def run(self, tensors):
+        return {"out": np.array([[[30.0, 32.0, 30.0, 10.0, 0.9, 0.1]] + [[0.0] * 6] * 7])}
+
+
 class Map:
     def run(self, tensors):
         x = tensors["x"][0, 0]
@@ -79,3 +84,30 @@ def test_parameters(spark, tmp_path):
     assert [tuple(x) for x in models.text_model(listing, ["m/", "n/"]).collect()] == [("m/", "m/a", "model.onnx")]
     models.save_settings(str(tmp_path / "s.json"), {"threads": 2})
     assert models.load_settings(str(tmp_path / "s.json"))["threads"] == 2 and models.load_settings(str(tmp_path / "s.json"))["device"] == "cpu"
+
+
+def test_document_of_images(page, spark, tmp_path, capsys):
+    from folioframe.__main__ import main
+    from folioframe.plans import image_nodes
+    from folioframe.plans.graph import Context
+    from folioframe.sdk import Folio
+
+    models = {"side": 64, "formula_detector": lambda: Large(), "formula_decoder": lambda: Next(), "vocabulary": {3: "Ġx", 4: "^2"}, "text_detector": lambda: Map(), "text_recognizer": lambda: Letters(), "keys": {1: "a", 2: "b"}}
+    one = page.where("image_id = 1")
+    blocks = Folio.from_images(one, **models).blocks.orderBy("ord").collect()
+    assert [b.kind for b in blocks].count("paragraph") == 1 and {b.text for b in blocks} == {"x^2", "aab"}
+    assert [b.y for b in blocks] == sorted(b.y for b in blocks) and [b.ord for b in blocks] == list(range(1, len(blocks) + 1))
+    assert "$$x^2$$" in Folio.from_images(one, "formula", **models).to("markdown").first().body
+    assert Folio.from_images(page).blocks.count() == 0  # the stub finds nothing
+    assert image_nodes.document_graph().run(Context()).frames == {}
+    context = image_nodes.document_graph("text").add(image_nodes.ResizeNode(8, 4)).add(image_nodes.NormalizeNode((0.5,), (0.5,))).run(Context({"images": one}, models))
+    assert context.frames["resize"].first().width == 8 and context.metadata["normalize_std"] == [0.5] and context.frames["normalize"].count() == 1
+    (tmp_path / "p.png").write_bytes(images.encode_png(np.zeros((6, 6, 4), np.uint8)))
+    (tmp_path / "q.png").write_bytes(b"no image")
+    assert Folio.from_files(spark, str(tmp_path)).blocks.count() == 0
+    assert main(["recognize", "x", "--format", "nothing"]) == 1
+
+
+def test_margins(spark):
+    boxes_ = spark.createDataFrame([(1, 1, 5.0, 2.0, 10.0, 10.0), (1, 2, 5.0, 50.0, 10.0, 40.0)], "image_id long, box_id int, x double, y double, w double, h double")
+    assert [(r.y, r.h) for r in vision.padded(boxes_).orderBy("box_id").collect()] == [(0.0, 18.0), (42.0, 56.0)]
