@@ -66,28 +66,46 @@ def recognition_width(w: Column, h: Column, height: int = 48, base: int = 320) -
     return target, F.least(F.ceil(height * w / h).cast("int"), target)
 
 
-def ink_rows(gray: DataFrame, margin: int = 28, low: int = 80, high: int = 245) -> DataFrame:
-    """Inked pixels of each row of images (image_id, r, c, gray): darker than the 95th percentile less a margin, within limits."""
-    every = gray.groupBy("image_id").agg(F.array_sort(F.collect_list("gray")).alias("g"))
-    back = F.element_at("g", (F.floor(F.size("g") * 0.95) + 1).cast("int"))
-    limits = every.select("image_id", F.least(F.greatest(back - margin, F.lit(low)), F.lit(high)).alias("limit"))
-    marked = gray.join(limits, "image_id")
-    return marked.groupBy("image_id", "r").agg(F.count_if(F.col("gray") < F.col("limit")).alias("ink"))
+def ink_rows(gray: DataFrame, margin: int = 28, low: int = 80, high: int = 245, border: bool = True) -> DataFrame:
+    """(image_id, r, height, width, ink): inked pixels of each row of images (image_id, r, c, gray).
 
-
-def bands(rows: DataFrame, least: int = 3) -> DataFrame:
-    """Runs of neighbouring rows with so much ink: (image_id, top, bottom). Gaps and islands."""
+    Ink is darker than the 95th percentile less a margin, within limits; border: the outermost pixels have none. The
+    percentile comes from counts of at most 256 levels an image.
+    """
+    levels = gray.groupBy("image_id", "gray").agg(F.count(F.lit(1)).alias("n"), F.max("r").alias("r"), F.max("c").alias("c"))
+    image = Window.partitionBy("image_id")
+    upto, all_ = F.sum("n").over(image.orderBy("gray")), F.sum("n").over(image)
+    back = F.min(F.when(F.col("upto") > F.floor(F.col("all") * 0.95), F.col("gray")))
+    sizes = [(F.max("r") + 1).alias("height"), (F.max("c") + 1).alias("width")]
+    found = levels.withColumns({"upto": upto, "all": all_}).groupBy("image_id").agg(back.alias("back"), *sizes)
+    limits = found.select("image_id", "height", "width", F.least(F.greatest(F.col("back") - margin, F.lit(low)), F.lit(high)).alias("limit"))
+    edge = F.greatest(F.floor(F.least("height", "width") / 80), F.lit(1))
+    within = lambda c, size: (F.col(c) >= edge) & (F.col(c) < F.col(size) - edge)
+    inked = F.col("gray") < F.col("limit")
+    inked = inked & within("r", "height") & within("c", "width") if border else inked
+    return gray.join(limits, "image_id").groupBy("image_id", "r", "height", "width").agg(F.count_if(inked).alias("ink"))
+
+
+def bands(rows: DataFrame, least: int = 3, share: float = 0.006) -> DataFrame:
+    """Runs of neighbouring rows with so many inked pixels, or that share of the width: (image_id, height, top, bottom). Gaps and islands."""
     order = Window.partitionBy("image_id").orderBy("r")
-    inked = rows.where(F.col("ink") >= least).withColumn("island", F.col("r") - F.row_number().over(order))
-    return inked.groupBy("image_id", "island").agg(F.min("r").alias("top"), F.max("r").alias("bottom")).drop("island")
+    inked = rows.where(F.col("ink") >= F.greatest(F.lit(least), F.floor(F.col("width") * share))).withColumn("island", F.col("r") - F.row_number().over(order))
+    return inked.groupBy("image_id", "height", "island").agg(F.min("r").alias("top"), F.max("r").alias("bottom")).drop("island")
 
 
-def merge_bands(found: DataFrame, gap: int = 3) -> DataFrame:
-    """Bands that follow within the gap become one."""
+def merge_bands(found: DataFrame, gap: int | None = None) -> DataFrame:
+    """Bands that follow within the gap become one; by default it is 1.8 % of the height, from 3 to 14 rows."""
     order = Window.partitionBy("image_id").orderBy("top")
-    new = found.withColumn("new", F.coalesce((F.col("top") > F.lag("bottom").over(order) + gap).cast("int"), F.lit(1)))
+    near = F.greatest(F.least(F.floor(F.col("height") * 0.018), F.lit(14)), F.lit(3)) if gap is None else F.lit(gap)
+    new = found.withColumn("new", F.coalesce((F.col("top") > F.lag("bottom").over(order) + near).cast("int"), F.lit(1)))
     part = new.withColumn("part", F.sum("new").over(order))
-    return part.groupBy("image_id", "part").agg(F.min("top").alias("top"), F.max("bottom").alias("bottom")).drop("part")
+    return part.groupBy("image_id", "height", "part").agg(F.min("top").alias("top"), F.max("bottom").alias("bottom")).drop("part")
+
+
+def line_bands(gray: DataFrame) -> DataFrame:
+    """(image_id, top, bottom) of the lines of images: merged bands of four rows to half the height."""
+    tall = F.col("bottom") - F.col("top") + 1
+    return merge_bands(bands(ink_rows(gray))).where((tall >= 4) & (tall <= F.col("height") / 2)).drop("height")
 
 
 def mean_inside(cells: DataFrame, x0: int, y0: int, x1: int, y1: int) -> DataFrame:

@@ -181,8 +181,8 @@ QUERIES = {
         lambda sp, sf: s.mean_inside(view(sp, sf, "v_logits"), 1, 2, 6, 5).select("seq_id", F.round("score", 9).alias("score")),
         "SELECT seq_id, round(coalesce(avg(x) FILTER (WHERE v >= 1 AND v < 6 AND t >= 2 AND t < 5), 0.0), 9) AS score FROM {v_logits} z GROUP BY seq_id",
     ),
-    "line_ink_rows": (lambda sp, sf: s.ink_rows(view(sp, sf, "v_gray")), _BANDS_ROWS + " SELECT image_id, r, ink FROM ink"),
-    "line_row_bands": (lambda sp, sf: s.bands(s.ink_rows(view(sp, sf, "v_gray"))), _BANDS + " SELECT image_id, top, bottom FROM band"),
-    "line_merge_bands": (lambda sp, sf: s.merge_bands(s.bands(s.ink_rows(view(sp, sf, "v_gray"))), 2), _MERGED),
+    "line_ink_rows": (lambda sp, sf: s.ink_rows(view(sp, sf, "v_gray"), border=False).drop("height", "width"), _BANDS_ROWS + " SELECT image_id, r, ink FROM ink"),
+    "line_row_bands": (lambda sp, sf: s.bands(s.ink_rows(view(sp, sf, "v_gray"), border=False)).drop("height"), _BANDS + " SELECT image_id, top, bottom FROM band"),
+    "line_merge_bands": (lambda sp, sf: s.merge_bands(s.bands(s.ink_rows(view(sp, sf, "v_gray"), border=False)), 2).drop("height"), _MERGED),
 }
 SQL = {name: duck_sql(sql) for name, (_, sql) in QUERIES.items() if sql}

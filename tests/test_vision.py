@@ -111,3 +111,21 @@ def test_document_of_images(page, spark, tmp_path, capsys):
 def test_margins(spark):
     boxes_ = spark.createDataFrame([(1, 1, 5.0, 2.0, 10.0, 10.0), (1, 2, 5.0, 50.0, 10.0, 40.0)], "image_id long, box_id int, x double, y double, w double, h double")
     assert [(r.y, r.h) for r in vision.padded(boxes_).orderBy("box_id").collect()] == [(0.0, 18.0), (42.0, 56.0)]
+
+
+def test_line_bands_agree_with_pixels(spark):
+    from folioframe.operators import signals
+
+    rng = np.random.default_rng(5)
+    cells, want = [], []
+    for i in range(6):
+        h, w = 60 + 10 * i, 30 + i
+        a = np.full((h, w), 250, np.uint8)
+        for top in range(5, h - 12, 18):
+            a[top : top + int(rng.integers(3, 9)), 3 : w - 3] = rng.integers(0, 120)
+        a[rng.random((h, w)) < 0.02] = 10
+        cells += [(i, r, c, int(a[r, c])) for r in range(h) for c in range(w)]
+        want += [(i, t, b) for t, b in images.row_bands(images.ink_mask(a[:, :, None]))]
+    gray = spark.createDataFrame(cells, "image_id long, r long, c long, gray long")
+    got = signals.line_bands(gray).select("image_id", "top", "bottom")
+    assert want and sorted(tuple(r) for r in got.collect()) == sorted(want)
