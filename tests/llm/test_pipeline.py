@@ -92,3 +92,19 @@ def test_one_of_repeated_ids(spark):
     kept = op10_simhash.keep_one(df)
     assert kept.columns == df.columns and sorted(r.source for r in kept.collect()) in (["a", "d", "e"], ["b", "d", "e"])
     assert op10_simhash.keep_one(df.limit(0)).count() == 0 and op1_suffix_dedup.deduplicate(df.limit(0)).count() == 0
+
+
+def test_run_over_whole_and_empty_tables(spark, stages, tmp_path):
+    given = "/root/testdata/sf0.001"
+    first = stages[0][0]
+    first.write.parquet(f"{tmp_path}/a/documents.parquet")
+    first.limit(0).write.parquet(f"{tmp_path}/b/documents.parquet")
+    for sf in ("a", "b"):
+        spark.read.parquet(f"{given}/labels.parquet").write.parquet(f"{tmp_path}/{sf}/labels.parquet")
+    whole = cp.run(spark, f"{tmp_path}/a")
+    last = stages[-1][1]
+    key = ["doc_id", "start", "length", "ids_crc32"]
+    assert whole.columns == last.columns
+    assert sorted(map(str, whole.select("doc_id", "doc_tokens").distinct().collect())) == sorted(map(str, last.select("doc_id", "doc_tokens").distinct().collect()))
+    assert sorted(map(str, whole.select([c for c in key if c in whole.columns]).collect())) == sorted(map(str, last.select([c for c in key if c in last.columns]).collect()))
+    assert cp.run(spark, f"{tmp_path}/b").count() == 0
