@@ -28,7 +28,7 @@ LOGITS = """
 SELECT vec_id AS seq_id, t, v, CAST(x AS DOUBLE) AS x FROM (SELECT vec_id, CAST(floor((i - 1) / 8) AS BIGINT) AS t, (i - 1) % 8 AS v, x FROM {flat} f) s
 """
 GRAY = """
-SELECT vec_id AS image_id, CAST(floor((i - 1) / 4) AS BIGINT) AS r, (i - 1) % 4 AS c, CAST(floor(abs(x) * 1000) AS BIGINT) % 256 AS gray FROM {flat} f
+SELECT vec_id AS image_id, CAST(floor((i - 1) / 4) AS BIGINT) AS r, (i - 1) % 4 AS c, CAST(floor(abs(x) * {thousand}) AS BIGINT) % 256 AS gray FROM {flat} f
 """
 FORMULAS = r"""
 SELECT p_partkey AS formula_id, CASE p_partkey % 16
@@ -59,12 +59,15 @@ SELECT user_id AS job_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, e
        CASE event_type WHEN 'view' THEN 'pending' WHEN 'signup' THEN 'active' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'cancelled' END AS status, event_id FROM {events}
 """
 _VIEWS = {"v_boxes": BOXES, "v_points": POINTS, "v_anchors": ANCHORS, "v_logits": LOGITS, "v_gray": GRAY, "v_formulas": FORMULAS, "v_mixed": MIXED, "v_blocks": BLOCKS, "v_nodes": NODES, "v_jobs": JOBS}
-#: Flattened arrays and lines, the two things that both engines write differently.
+#: Flattened arrays, lines and a 32-bit factor, the things that both engines write differently: DuckDB multiplies a float
+#: and an integer in 32 bits, Spark in 64, which may fall on the other side of a whole number.
 _SPARK = {
+    "thousand": "CAST(1000 AS FLOAT)",
     "flat": "(SELECT vec_id, pos + 1 AS i, x FROM {embeddings} LATERAL VIEW posexplode(embedding) e AS pos, x)",
     "lines": "(SELECT doc_id, pos AS k, line FROM {documents} LATERAL VIEW posexplode(split(text, '\\n')) e AS pos, line)",
 }
 _DUCK = {
+    "thousand": "1000",
     "flat": "(SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding) AS x FROM embeddings)",
     "lines": "(SELECT doc_id, unnest(range(len(s))) AS k, unnest(s) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))",
 }
