@@ -5,7 +5,8 @@ Work is per image, so a table is shuffled once, by image; null coordinates make
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,33 +71,53 @@ def reading_order(boxes: DataFrame, by: tuple[str, ...] = ("y", "x")) -> DataFra
     return boxes.withColumn("place", F.row_number().over(Window.partitionBy("image_id").orderBy(*by, "box_id")))
 
 
+def _grown(rows: list[list[float]], line: float, gap: float) -> list[tuple]:
+    """(place of the first box, x, y, w, h, confidence, members) of each group of one image's boxes (x, y, w, h, confidence), in order."""
+    used, out = [False] * len(rows), []
+    for i, (x, y, w, h, best) in enumerate(rows):
+        if used[i]:
+            continue
+        r, b, members = x + w, y + h, 1
+        for j in range(i + 1, len(rows)):
+            if used[j]:
+                continue
+            ox, oy, ow, oh, confidence = rows[j]
+            height, width = (b - y + oh) / 2, (r - x + ow) / 2
+            if abs((y + b) / 2 - (oy + oh / 2)) <= line * height and max(ox - r, x - ox - ow, 0.0) < gap * width:
+                used[j] = True
+                x, y, r, b = min(x, ox), min(y, oy), max(r, ox + ow), max(b, oy + oh)
+                best, members = max(best, confidence), members + 1
+        out.append((i, x, y, r - x, b - y, best, members))
+    return out
+
+
 def group_nearby(boxes: DataFrame, by: tuple[str, ...] = ("y", "x"), line: float = 1.5, gap: float = 0.5) -> DataFrame:
     """Boxes of one line that lie close become one: in order, each box takes in every later one whose centre is within
     `line` mean heights and whose horizontal gap is below `gap` mean widths of the box as it has grown; its rectangle
-    is the union and its confidence the largest. One Arrow group an image, as the outcome depends on the order."""
-
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = frame.sort_values([*by, "box_id"]).to_dict("records")
-        used, out = [False] * len(rows), []
-        for i, first in enumerate(rows):
-            if used[i]:
-                continue
-            x, y, r, b, best, members = first["x"], first["y"], first["x"] + first["w"], first["y"] + first["h"], first["confidence"], 1
-            for j in range(i + 1, len(rows)):
-                if used[j]:
-                    continue
-                o = rows[j]
-                height, width = (b - y + o["h"]) / 2, (r - x + o["w"]) / 2
-                apart = max(o["x"] - r, x - o["x"] - o["w"], 0.0)
-                if abs((y + b) / 2 - (o["y"] + o["h"] / 2)) <= line * height and apart < gap * width:
-                    used[j] = True
-                    x, y, r, b = min(x, o["x"]), min(y, o["y"]), max(r, o["x"] + o["w"]), max(b, o["y"] + o["h"])
-                    best, members = max(best, o["confidence"]), members + 1
-            out.append((first["image_id"], first["box_id"], x, y, r - x, b - y, best, members))
-        return pd.DataFrame(out, columns=["image_id", "box_id", "x", "y", "w", "h", "confidence", "members"])
-
-    schema = "image_id long, box_id int, x double, y double, w double, h double, confidence double, members long"
-    return boxes.select("image_id", "box_id", "x", "y", "w", "h", "confidence").groupBy("image_id").applyInPandas(merge, schema)
+    is the union and its confidence the largest. A row an image goes through Python, as the outcome depends on the order;
+    nulls come last in it and never meet."""
+    kept = ("x", "y", "w", "h", "confidence")
+    value = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan")))
+    order = [value(c).alias(f"by{k}") for k, c in enumerate(by)]
+    each = F.struct(*order, F.col("box_id").isNull().alias("unnamed"), F.col("box_id").cast("int").alias("box_id"), *[value(c).alias(c) for c in kept])
+    listed = boxes.groupBy(F.col("image_id").cast("long").alias("image_id")).agg(F.sort_array(F.collect_list(each)).alias("all"))
+
+    def merge(batches):
+        for batch in batches:
+            ends, cells = batch.column(1).offsets.to_pylist(), batch.column(1).values
+            table = np.column_stack([cells.field(c).to_numpy() for c in kept])
+            images, firsts, found = [], [], []
+            for k, (start, end) in enumerate(zip(ends, ends[1:], strict=False)):
+                for i, *box in _grown(table[start:end].tolist(), line, gap):
+                    images.append(k)
+                    firsts.append(start + i)
+                    found.append(box)
+            grown = np.array(found, np.float64).reshape(-1, 6)
+            columns = [pa.array(grown[:, c], mask=np.isnan(grown[:, c])) for c in range(5)]
+            own, named = batch.column(0).take(pa.array(images, pa.int64())), cells.field("box_id").take(pa.array(firsts, pa.int64()))
+            yield pa.RecordBatch.from_arrays([own, named, *columns, pa.array(grown[:, 5].astype(np.int64))], ["image_id", "box_id", *kept, "members"])
+
+    return listed.mapInArrow(merge, "image_id long, box_id int, x double, y double, w double, h double, confidence double, members long")
 
 
 def split_text_around_formulas(texts: DataFrame, formulas: DataFrame, min_width: float = 10.0) -> DataFrame:
