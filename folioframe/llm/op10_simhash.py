@@ -93,7 +93,8 @@ def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Data
     tables = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for t, m in enumerate(covering_masks(radius))])
     rows = distinct.select("fp", F.explode(tables).alias("bucket"))
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = rows.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("n") / block))
+    # Spark takes the exploded rows for as small as the fingerprints and would broadcast them through the driver
+    shared = rows.hint("merge").join(sizes.hint("merge"), "bucket").withColumn("blocks", F.ceil(F.col("n") / block))
     own = F.pmod(F.xxhash64("fp", F.lit(1)), "blocks")
     pair = lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"))
     dealt = shared.select("fp", "bucket", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), pair)).alias("p"))
